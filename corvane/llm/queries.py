@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import vectors
+from corvane.llm import vectors, vocabulary
 from corvane.session import read_table
 
 
@@ -32,9 +32,21 @@ def p3_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("chunk_id"), F.col("neighbor_id").alias("neighbor_chunk_id"), F.round("cosine", 4).alias("cosine"), "rank")
 
 
+def _unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.col("normalized_id")
+    return read_table(spark, sf_dir, "entities").where(ids.isNull() | ~ids.rlike(r"\S")).select("entity_id", "entity_text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary entry of every mention that has none yet."""
+    mentions, nodes = _unmapped(spark, sf_dir), read_table(spark, sf_dir, "repo_nodes").withColumn("synonyms", F.col("metadata.synonyms"))
+    mapped = vocabulary.map_values(mentions, "entity_text", nodes, ["vocabulary", "code"], "display_name", "synonyms")
+    return vocabulary.map_mentions(mentions, "entity_id", "entity_text", mapped, ["vocabulary", "code"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {"p3_found": p3_found, "p3_neighbors": p3_neighbors}
+    return {f.__name__: f for f in (p3_found, p3_neighbors, p4_found)}
 
 
 def oracle_sql() -> dict[str, str]:
