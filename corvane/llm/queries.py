@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import vectors, vocabulary
+from corvane.llm import residue, vectors, vocabulary
 from corvane.session import read_table
 
 
@@ -44,9 +44,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.map_mentions(mentions, "entity_id", "entity_text", mapped, ["vocabulary", "code"])
 
 
+def p8_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what marks it as no content, null where it is kept."""
+    return residue.mark_residue(read_table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an unfilled slot, or consist of padding, an error message or a notice."""
+    return p8_marked(spark, sf_dir).where(F.col("kind").isNotNull()).select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p3_found, p3_neighbors, p4_found)}
+    return {f.__name__: f for f in (p3_found, p3_neighbors, p4_found, p8_found, p8_marked)}
 
 
 def oracle_sql() -> dict[str, str]:
