@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import residue, vectors, vocabulary
+from corvane.llm import residue, splitting, vectors, vocabulary
 from corvane.session import read_table
 
 
@@ -16,6 +16,18 @@ def settings(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     return {r.config_key: r.config_value for r in read_table(spark, sf_dir, "retrieval_config").select("config_key", "config_value").collect()}
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the text of an oversized chunk itself ends a unit."""
+    limit = settings(spark, sf_dir)
+    return splitting.unit_ends(read_table(spark, sf_dir, "chunks"), "chunk_id", "content", int(limit["chunk_limit_tokens"]))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered pieces of the oversized chunks."""
+    limit = settings(spark, sf_dir)
+    return splitting.split_oversized(read_table(spark, sf_dir, "chunks"), "chunk_id", "document_id", "chunk_index", "content", int(limit["chunk_limit_tokens"]), int(limit["chunk_overlap_tokens"]))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks of at least the least cosine, one among the other's nearest."""
     limit = settings(spark, sf_dir)
@@ -56,7 +68,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p3_found, p3_neighbors, p4_found, p8_found, p8_marked)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_neighbors, p4_found, p8_found, p8_marked)}
 
 
 def oracle_sql() -> dict[str, str]:
