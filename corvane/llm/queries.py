@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import residue, splitting, vectors, vocabulary
-from corvane.session import read_table
+from corvane.llm import mixing, packing, residue, splitting, vectors, vocabulary
+from corvane.llm.tokens import token_count
+from corvane.session import cut_lineage, read_table
 
 
 def settings(spark: SparkSession, sf_dir: str) -> dict[str, float]:
@@ -56,6 +57,48 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.map_mentions(mentions, "entity_id", "entity_text", mapped, ["vocabulary", "code"])
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whole or in pieces, with its container."""
+    sizes = packing.item_sizes(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack_items(sizes, "doc_id", int(settings(spark, sf_dir)["container_tokens"]))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that had to be split."""
+    return p6_packed(spark, sf_dir).where(F.col("pieces") > 1).select("doc_id").distinct()
+
+
+def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are, all in all."""
+    room = int(settings(spark, sf_dir)["container_tokens"])
+    full = p6_packed(spark, sf_dir).where(F.col("container").isNotNull()).groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    return full.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.round(F.sum("tokens") / (F.count("*") * room), 4).alias("filled"))
+
+
+def _source_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").where(F.col("source").isNotNull())
+    return cut_lineage(docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that can't reach their target share."""
+    docs = read_table(spark, sf_dir, "documents").where(F.col("source").isNotNull())
+    sizes = docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens"))
+    return mixing.source_report(sizes, read_table(spark, sf_dir, "source_targets")).where(~F.col("reachable")).select("source").distinct()
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document of the listed sources is used."""
+    return mixing.mix_sources(_source_sizes(spark, sf_dir), "doc_id", read_table(spark, sf_dir, "source_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    sizes, targets = _source_sizes(spark, sf_dir), read_table(spark, sf_dir, "source_targets")
+    shares = mixing.reached_shares(mixing.mix_sources(sizes, "doc_id", targets), mixing.source_report(sizes, targets))
+    return shares.select("source", "target_share", F.round("share", 4).alias("share"), "used_tokens", "source_tokens", "most_copies", "reachable")
+
+
 def p8_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what marks it as no content, null where it is kept."""
     return residue.mark_residue(read_table(spark, sf_dir, "documents"), "doc_id", "source", "text")
@@ -68,7 +111,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_neighbors, p4_found, p8_found, p8_marked)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_neighbors, p4_found, p6_found, p6_packed, p6_usage, p7_found, p7_mixture, p7_shares, p8_found, p8_marked)}
 
 
 def oracle_sql() -> dict[str, str]:

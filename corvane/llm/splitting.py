@@ -25,6 +25,7 @@ _LIST = re.compile(r"\s*(?:[-*•‣▪–—]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s
 _HEADING_NUMBER = re.compile(r"\s*(?:#{1,6}\s|\d{1,2}(?:\.\d{1,2})+\.?\s+[^\W\d_])")
 _TABLE = re.compile(r"\t|\s\|\s|;.*;")
 _END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s+(\S)|(?=([^\W\d_])))")
+_CLAUSE = re.compile(r"[,;:](?=\s)")
 _INLINE_ITEM = re.compile(r"\s+(?=(?:[•‣▪]|#{2,6})\s)")
 
 
@@ -83,8 +84,9 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     if n <= limit:
         return [(spans[0][0], spans[-1][1], n)] if n else []
     ends = [e for _, e in spans]
-    cut_at = {}
-    for offset, strength in boundaries(text):
+    cut_at: dict[int, float] = {}
+    weak = [(m.end(), 0.5) for m in _CLAUSE.finditer(text)]
+    for offset, strength in [*weak, *boundaries(text)]:
         at = bisect.bisect_right(ends, offset)
         if 0 < at < n and strength > cut_at.get(at, 0):
             cut_at[at] = strength
@@ -102,7 +104,7 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
         count += 1
 
 
-def _snap(n: int, count: int, limit: int, overlap: int, places: list[int], strength: dict[int, int]) -> list[int] | None:
+def _snap(n: int, count: int, limit: int, overlap: int, places: list[int], strength: dict[int, float]) -> list[int] | None:
     """Cuts for ``count`` pieces, or None where a limit fails. A cut moves a third of a piece from its target, further only where no boundary is near."""
     cuts, last = [], 0
     for i in range(1, count):
