@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import mixing, packing, residue, splitting, vectors, vocabulary
+from corvane.llm import duplicates, mixing, packing, residue, splitting, vectors, vocabulary
 from corvane.llm.tokens import token_count
 from corvane.session import cut_lineage, read_table
 
@@ -17,6 +17,18 @@ def settings(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     return {r.config_key: r.config_value for r in read_table(spark, sf_dir, "retrieval_config").select("config_key", "config_value").collect()}
 
 
+def _similar_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    share = settings(spark, sf_dir)["near_duplicate_min_share"]
+    # TESTDATA.md compares runs of three words
+    return duplicates.similar_texts(read_table(spark, sf_dir, "chunks"), "chunk_id", "content", share, words=3)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks that share most of their three-word runs."""
+    pairs = duplicates.duplicate_pairs(*_similar_chunks(spark, sf_dir))
+    return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the text of an oversized chunk itself ends a unit."""
     limit = settings(spark, sf_dir)
@@ -111,7 +123,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_neighbors, p4_found, p6_found, p6_packed, p6_usage, p7_found, p7_mixture, p7_shares, p8_found, p8_marked)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_neighbors, p4_found, p6_found, p6_packed, p6_usage, p7_found, p7_mixture, p7_shares, p8_found, p8_marked)}
 
 
 def oracle_sql() -> dict[str, str]:
