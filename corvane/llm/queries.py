@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import duplicates, mixing, packing, residue, splitting, vectors, vocabulary
+from corvane.llm import duplicates, mixing, packing, residue, scans, splitting, vectors, vocabulary
 from corvane.llm.tokens import token_count
 from corvane.session import cut_lineage, read_table
 
@@ -69,6 +69,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.map_mentions(mentions, "entity_id", "entity_text", mapped, ["vocabulary", "code"])
 
 
+def _inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = read_table(spark, sf_dir, "chunks")
+    pages = chunks.where(F.col("parser") == "ocr").select("document_id", "chunk_id", "chunk_index", "page_number", "content")
+    clean = chunks.where((F.col("parser") != "ocr") & F.col("content").isNotNull()).select(F.col("content").alias("text"))
+    return scans.inspect_pages(pages, clean, "document_id", "chunk_id", "chunk_index", "page_number", "content")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of scanned pages that are furniture, end in a broken word, or hold misread letters."""
+    return scans.line_kinds(_inspected(spark, sf_dir)).select(F.col("id").alias("chunk_id"), "line_no", "kind").distinct()
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned pages of each document as continuous paragraphs."""
+    return scans.continuous_text(_inspected(spark, sf_dir)).withColumnRenamed("doc", "document_id")
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, whole or in pieces, with its container."""
     sizes = packing.item_sizes(read_table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -123,7 +140,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_neighbors, p4_found, p6_found, p6_packed, p6_usage, p7_found, p7_mixture, p7_shares, p8_found, p8_marked)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_neighbors, p4_found, p5_found, p5_paragraphs, p6_found, p6_packed, p6_usage, p7_found, p7_mixture, p7_shares, p8_found, p8_marked)}
 
 
 def oracle_sql() -> dict[str, str]:
