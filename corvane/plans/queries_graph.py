@@ -11,6 +11,7 @@ from corvane.plans import cypher
 from corvane.plans import evaluation as EV
 from corvane.plans import retrieval as RT
 from corvane.plans.queries_relational import _q, r6
+from corvane.session import cut_lineage
 from corvane.plans.views import C, E, M, R as REL, Query, Tables, any_sql, weights_sql
 
 SHARED = 3
@@ -18,14 +19,15 @@ QUESTION = "What adverse events occurred with headache?"
 
 
 def _overlap(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return G.overlap_graph(t.meta_graphs, t.entities, SHARED)
+    vertices, edges = G.overlap_graph(t.meta_graphs, t.entities, SHARED)
+    return vertices, cut_lineage(edges)  # used several times: written once
 
 
 def _communities(t: Tables) -> DataFrame:
     """Components of the overlap graph as communities."""
     vertices, edges = _overlap(t)
     members = G.connected_components(edges).select("id", F.lit(0).alias("level"), F.col("component").alias("cluster"))
-    return G.community_schema(members, edges, vertices)
+    return cut_lineage(G.community_schema(members, edges, vertices))
 
 
 _OVERLAP = f"""i AS (SELECT DISTINCT meta_graph_id AS id, lower(entity_text) AS t FROM e WHERE entity_text IS NOT NULL), w AS (SELECT a.id AS src, b.id AS dst, CAST(count(*) AS DOUBLE) AS weight FROM i a JOIN i b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= {SHARED}), u AS (SELECT src AS a, dst AS b FROM w UNION SELECT dst, src FROM w)"""
@@ -114,7 +116,7 @@ RETRIEVAL = [
 
 def hybrid(t: Tables) -> DataFrame:
     """The flagship: a question answered from communities, entities and relations."""
-    return RT.retrieve(QUESTION, t.entities, t.relations, _communities(t))
+    return cut_lineage(RT.retrieve(QUESTION, t.entities, t.relations, _communities(t)))
 
 
 def _prompt(t: Tables) -> DataFrame:

@@ -12,6 +12,7 @@ from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import graph as G
 from corvane.operators import relational as R
+from corvane.session import cut_lineage
 
 # How much entity types and vocabularies count.
 TYPE_WEIGHTS = {"drug": 1.0, "medication": 1.0, "disease": 0.9, "condition": 0.9, "symptom": 0.8, "adverse_event": 0.8, "procedure": 0.7, "measurement": 0.6, "population": 0.5, "temporal": 0.4}
@@ -142,7 +143,7 @@ def retrieve(query: str, entities: DataFrame, relations: DataFrame, communities:
     """
     limits = limits or Limits()
     one = entities.dropDuplicates(["entity_id"])
-    relevant = community_scores(query, communities, one, limits) if communities is not None else None
+    relevant = cut_lineage(community_scores(query, communities, one, limits)) if communities is not None else None
     cols = ["entity_id", "entity_text", "entity_type", "confidence", "normalized_id", "normalized_source", "chunk_id", "relation_count"]
     found = entity_candidates(query, one, relations, relevant, context, limits).select(*cols, "community_id", "community_title", "community_relevance", "score")
     if vector is not None and chunks is not None:
@@ -151,7 +152,8 @@ def retrieve(query: str, entities: DataFrame, relations: DataFrame, communities:
         extra = extra.crossJoin(F.broadcast(short)).where("_short").drop("_short")
         extra = extra.withColumn("score", entity_score(query, F.col("entity_text"), F.col("entity_type"), F.col("confidence"), F.col("normalized_source")))
         found = found.unionByName(extra, allowMissingColumns=True)
-    found = found.withColumns({"hops": F.lit(0), "predicate_path": F.lit(None).cast("string"), "evidence": F.lit(None).cast("string")})
+    # a few hundred rows that seeds, what was seen and the ranking all start from: written once
+    found = cut_lineage(found).withColumns({"hops": F.lit(0), "predicate_path": F.lit(None).cast("string"), "evidence": F.lit(None).cast("string")})
     seeds = found.where("entity_type <> 'semantic_chunk'").orderBy(F.desc("score"), "entity_id").limit(limits.seeds).select("entity_id")
     reached = G.first_reached(G.directed_paths(G.edge_table(relations), seeds, limits.hops), found.select("entity_id"), limits.paths)
     names = one.select(F.col("entity_id").alias("id"), "entity_text", "entity_type", "normalized_id", "chunk_id", F.lower(F.regexp_extract("normalized_id", r"^([^:]+):", 1)).alias("normalized_source"))
