@@ -242,3 +242,13 @@ def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     x, y = (inside.select(F.col("id").alias(f"id_{k}"), "class") for k in "ab")
     within = x.join(y, "class").where("id_a < id_b").select("id_a", "id_b")
     return across.where("id_a <> id_b").unionByName(within).distinct()
+
+
+def duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``(id, group_id)``: one row per id; classes linked to each other, however remotely, are one group, named by its smallest id."""
+    from corvane.operators.graph import connected_components
+
+    parts = connected_components(links.select("class_a", "class_b"), members.select("class").distinct()).select(F.col("id").alias("class"), "component")
+    own = members.join(parts, "class")
+    names = own.groupBy("component").agg(F.min("id").alias("group_id"))
+    return own.join(names, "component").select("id", "group_id")

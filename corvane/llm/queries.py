@@ -29,6 +29,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(chunk_id, group_id)`` of every chunk that takes part: its own group where it has no near-duplicate."""
+    return duplicates.duplicate_groups(*_similar_chunks(spark, sf_dir)).withColumnRenamed("id", "chunk_id")
+
+
+def p1_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(group_id, nct_id, chunks)``: the studies that each group of at least two chunks spans, in one spelling."""
+    groups = cut_lineage(p1_groups(spark, sf_dir))
+    several = groups.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
+    owner = read_table(spark, sf_dir, "chunks").select("chunk_id", F.col("document_id").alias("doc_id")).distinct()
+    studies = read_table(spark, sf_dir, "documents").select("doc_id", F.upper(F.regexp_replace("nct_id", r"[^A-Za-z0-9]", "")).alias("nct_id"))
+    spans = groups.join(several, "group_id", "left_semi").join(owner, "chunk_id").join(studies, "doc_id")
+    return spans.groupBy("group_id", "nct_id").agg(F.countDistinct("chunk_id").alias("chunks"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the text of an oversized chunk itself ends a unit."""
     limit = settings(spark, sf_dir)
@@ -140,9 +155,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_neighbors, p4_found, p5_found, p5_paragraphs, p6_found, p6_packed, p6_usage, p7_found, p7_mixture, p7_shares, p8_found, p8_marked)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p1_studies, p2_found, p2_pieces, p3_found, p3_neighbors, p4_found, p5_found, p5_paragraphs, p6_found, p6_packed, p6_usage, p7_found, p7_mixture, p7_shares, p8_found, p8_marked)}
+
+
+_TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{b}\x{1c}-\x{1f}]+'))"
+_LIMIT = "(SELECT config_value FROM retrieval_config WHERE config_key = '{}')"
+_SIZES = f"s AS (SELECT t.source, any_value(t.target_share) AS target_share, any_value(t.max_repeats) AS max_repeats, coalesce(sum(n), 0) AS own FROM source_targets t LEFT JOIN (SELECT source, {_TOKENS} AS n FROM documents) d ON d.source = t.source GROUP BY 1)"
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB twins of the queries that SQL can express."""
-    return {}
+    """DuckDB twins of the queries that SQL can express, by brute force over the whole tables."""
+    runs = r"SELECT chunk_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM (SELECT chunk_id, regexp_extract_all(lower(any_value(content)), '[\p{L}\p{N}]+') AS w FROM chunks WHERE content IS NOT NULL GROUP BY 1) WHERE len(w) >= 3"
+    vectors = "SELECT chunk_id, CAST(any_value(embedding) AS FLOAT[128]) AS v FROM chunks WHERE len(embedding) = 128 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0 GROUP BY 1"
+    return {
+        "p1_found": f"WITH c AS ({runs}), n AS (SELECT chunk_id, len(g) AS n FROM c), r AS (SELECT chunk_id, unnest(g) AS x FROM c), p AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, count(*) AS k FROM r a JOIN r b ON a.x = b.x AND a.chunk_id < b.chunk_id GROUP BY 1, 2) SELECT chunk_id_a, chunk_id_b FROM p JOIN n a ON a.chunk_id = chunk_id_a JOIN n b ON b.chunk_id = chunk_id_b WHERE k / (a.n + b.n - k) >= {_LIMIT.format('near_duplicate_min_share')}",
+        "p3_found": f"WITH c AS ({vectors}), s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, array_cosine_similarity(a.v, b.v) AS s FROM c a JOIN c b ON a.chunk_id <> b.chunk_id), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM s) SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM k WHERE n <= {_LIMIT.format('vector_neighbors_k')} AND s >= {_LIMIT.format('vector_min_cosine')}",
+        "p6_found": f"SELECT DISTINCT doc_id FROM documents WHERE {_TOKENS} > {_LIMIT.format('container_tokens')}",
+        "p7_found": f"WITH {_SIZES} SELECT source FROM s WHERE own * max_repeats < target_share * (SELECT sum(own) FROM s)",
+    }
