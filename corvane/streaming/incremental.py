@@ -54,8 +54,12 @@ def sessions(df: DataFrame, time: str, gap: str, by: list[str], late: str | None
     return df.groupBy(*by, F.session_window(time, gap).alias("s")).agg(F.count("*").alias("n")).select(*by, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
 
 
-def running_counts(stream: DataFrame, key: str, timeout_ms: int = 3_600_000) -> DataFrame:
-    """``(key, total)`` of a keyed stream of rows, kept as state between batches; a key idle for ``timeout_ms`` is forgotten."""
+def running_counts(stream: DataFrame, key: str, timeout_ms: int | None = None) -> DataFrame:
+    """``(key, total)`` of a keyed stream of rows, kept as state between batches.
+
+    With ``timeout_ms`` a key idle that long is forgotten; such a stream looks for idle keys as long as it runs, so it
+    doesn't end by itself.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def add(k: tuple, batches, state: GroupState):
@@ -64,11 +68,12 @@ def running_counts(stream: DataFrame, key: str, timeout_ms: int = 3_600_000) ->
             return
         n = (state.get[0] if state.exists else 0) + sum(len(b) for b in batches)
         state.update((n,))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({key: [k[0]], "total": [n]})
 
     kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(add, f"{key} {kind}, total long", "n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(add, f"{key} {kind}, total long", "n long", "update", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def watch_progress(query: StreamingQuery, tell: Callable[[dict], None]) -> None:
