@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -185,14 +186,15 @@ def candidate_classes(signed: DataFrame, bands: int, bits: int, share: float, bl
 def _search_shards(rows: pd.DataFrame, radius: int) -> set[tuple[int, int]]:
     """Pairs within the radius in each (shard, block of the tree, block that asks) of the rows."""
     found: set[tuple[int, int]] = set()
-    for _, g in rows.sort_values(["shard", "own", "other", "asks", "class"], kind="stable").groupby(["shard", "own", "other"], sort=False):
-        classes, prints = g["class"].to_numpy(), [int.from_bytes(x, "big") for x in g["print"]]
-        asks, tree = g["asks"].to_numpy(), BKTree()
-        own_block = not asks.any()
-        for k, p in enumerate(prints):
-            if asks[k] or own_block:
-                found.update((min(a, b), max(a, b)) for a in (classes[j] for j in tree.within(p, radius)) if a != (b := classes[k]))
-            if not asks[k]:
+    ordered = sorted(zip(rows["shard"].tolist(), rows["own"].tolist(), rows["other"].tolist(), rows["asks"].tolist(), rows["class"].tolist(), rows["print"].tolist(), strict=True))
+    for _, group in groupby(ordered, key=lambda r: r[:3]):
+        members = list(group)
+        own_block, tree, classes = not members[-1][3], BKTree(), [m[4] for m in members]
+        for k, (_, _, _, asks, mine, print_) in enumerate(members):
+            p = int.from_bytes(print_, "big")
+            if asks or own_block:
+                found.update((min(a, mine), max(a, mine)) for a in (classes[j] for j in tree.within(p, radius)) if a != mine)
+            if not asks:
                 tree.add(p, k)
     return found
 
