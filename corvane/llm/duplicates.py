@@ -19,7 +19,7 @@ are read whole. Extra columns are not read. Equal texts under different ids are
 from __future__ import annotations
 
 import re
-import zlib
+from hashlib import blake2b
 from itertools import groupby
 
 import numpy as np
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from corvane.session import cut_lineage
 
 WORD = re.compile(r"[^\W_]+")
-_MASK = (1 << 64) - 1
 
 
 class BKTree:
@@ -82,8 +81,7 @@ _known: dict[str, int] = {}
 def _word_hash(word: str) -> int:
     h = _known.get(word)
     if h is None:
-        raw = word.encode()
-        h = zlib.crc32(raw) | zlib.crc32(raw, 0x9E3779B9) << 32
+        h = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
         if len(_known) < 1_000_000:  # a store of answers only; it changes no result
             _known[word] = h
     return h
@@ -148,8 +146,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, bands: int
                 runs = run_hashes(t, words)
                 if not len(runs):
                     continue
-                raw = runs.tobytes()
-                cls = int(np.uint64(((zlib.crc32(raw) | zlib.crc32(raw, 0x85EBCA6B) << 32) ^ int(_mix(runs).sum(dtype=np.uint64))) & _MASK).view(np.int64))
+                cls = int(np.frombuffer(blake2b(runs.tobytes(), digest_size=8).digest(), dtype=np.int64)[0])
                 keys, print_ = signer.sign(runs)
                 out.append((i, cls, print_.to_bytes(-(-bands * rows // 8), "big"), [] if cls in seen else keys))
                 if len(seen) < 1_000_000:
