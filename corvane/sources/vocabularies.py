@@ -85,6 +85,25 @@ def version_map(spark: SparkSession, sources: str) -> DataFrame:
     return r.select(F.upper(F.get("f", 3)).alias("source"), F.coalesce(F.when(F.get("f", 6) != "", F.get("f", 6)), F.get("f", 2)).alias("version")).where("source <> ''")
 
 
+def definitions(spark: SparkSession, path: str) -> DataFrame:
+    """``(code, definition)``: the first definition of each concept."""
+    r = read_rrf(spark, path, 6)
+    return r.where((F.get("f", 0) != "") & (F.get("f", 5) != "")).groupBy(F.get("f", 0).alias("code")).agg(F.min_by(F.get("f", 5), "line").alias("definition"))
+
+
+def database_nodes(spark: SparkSession, path: str, query: str, vocabulary: str, limit: int = 50_000, fallback: list[tuple[str, str, list[str], str]] = ()) -> DataFrame:
+    """Nodes from a SQLite file's rows ``(code, name, semantic_type)``, at most ``limit``; ``fallback`` where it can't be read."""
+    import sqlite3
+
+    try:
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+            found = db.execute(f"SELECT * FROM ({query}) LIMIT {int(limit)}").fetchall()
+        rows = [(vocabulary, str(c), str(n), [], t) for c, n, t in found]
+    except sqlite3.Error:
+        rows = [(vocabulary, c, n, list(s), t) for c, n, s, t in fallback]
+    return literal_nodes(spark, rows)
+
+
 def rxnorm_nodes(spark: SparkSession, concepts: str, relations: str | None = None, version: str | None = None) -> DataFrame:
     """Concepts with their own synonyms and those of parents and children."""
     out = _preferred(_labels(read_rrf(spark, concepts, 15), RXNORM_PREFERRED))
