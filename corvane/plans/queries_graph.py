@@ -103,7 +103,7 @@ RETRIEVAL = [
        graph_sql("SELECT cluster_key, round(relevance, 6) AS relevance FROM (SELECT top.cluster_key, 0.7 * CASE WHEN coalesce(hits, 0) > 0 THEN points / n + hits * 0.01 ELSE 0 END AS relevance FROM top LEFT JOIN per USING (cluster_key)) WHERE relevance > 0 ORDER BY relevance DESC, cluster_key LIMIT 10", _OVERLAP, _REACH, _COMMUNITIES,
                  "top AS (SELECT * FROM communities ORDER BY occurrence DESC, cluster_key LIMIT 100)", "x AS (SELECT top.cluster_key, e.entity_id, lower(entity_text) AS t, entity_type, row_number() OVER (PARTITION BY top.cluster_key ORDER BY e.entity_id) AS k FROM (SELECT cluster_key, unnest(nodes) AS id FROM top) top JOIN e ON e.meta_graph_id = top.id WHERE contains(lower(entity_text), 'headache') OR contains(lower(entity_text), 'vasculitis'))",
                  "per AS (SELECT cluster_key, CAST(sum(CASE WHEN t IN ('headache', 'vasculitis') THEN 2.0 ELSE 1.0 END + CASE WHEN entity_type IN ('drug', 'medication', 'disease', 'condition', 'adverse_event') THEN 0.5 ELSE 0.0 END) AS DOUBLE) AS points, count(*) AS n, count(*) AS hits FROM x WHERE k <= 500 GROUP BY 1)")),
-    _q("u_retrieval_hybrid", "R1 R2 R3 R5 G1", lambda t: hybrid(t)),
+    _q("hybrid_retrieval", "R1 R2 R3 R5 G1", lambda t: hybrid(t)),
     _q("community_ranking", "R5 M10 O9", lambda t: hybrid(t).where("hops = 0").select("entity_id", r6(F.col("final_score"), "final_score"))),
     _q("context_chunks", "R8 O10 J9", lambda t: RT.context_chunks(hybrid(t), t.chunks).select("chunk_id", "entities", r6(F.col("similarity"), "similarity"), "position")),
     _q("answer_prompt", "R9 F24", lambda t: _prompt(t)),
