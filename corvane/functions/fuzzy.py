@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +33,46 @@ def token_sort_ratio(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
+class NameTable:
+    """Names laid out so that ``token_sort_ratio`` of a value with all of them takes a few array operations a character."""
+
+    def __init__(self, names: list[str]) -> None:
+        sorted_names = [" ".join(sorted(n.split())) for n in names]
+        self.n, self.size = len(names), np.array([len(x) for x in sorted_names], dtype=np.int64)
+        # names of one, two, three … machine words apart, so that a long one doesn't slow down the short ones
+        self.parts = []
+        words = np.maximum(1, -(-self.size // 64))
+        for w in np.unique(words):
+            at = np.flatnonzero(words == w)
+            bits: dict[str, np.ndarray] = {}
+            for k, i in enumerate(at):
+                for j, c in enumerate(sorted_names[i]):
+                    if c not in bits:
+                        bits[c] = np.zeros((w, len(at)), dtype=np.uint64)
+                    bits[c][j // 64, k] |= np.uint64(1 << j % 64)
+            self.parts.append((at, int(w), bits))
+
+    def scores(self, value: str) -> np.ndarray:
+        """``token_sort_ratio`` of the value with each name."""
+        value = " ".join(sorted(value.split()))
+        common = np.zeros(self.n, dtype=np.int64)
+        for at, w, bits in self.parts:
+            s = np.full((w, len(at)), np.uint64(2**64 - 1))
+            for c in value:
+                m = bits.get(c)
+                if m is None:
+                    continue
+                u = s & m
+                t = s + u
+                for k in range(1, w):  # what the sum of a word carries goes to the next one
+                    carry = (t[k - 1] < s[k - 1]) if k == 1 else (t[k - 1] < s[k - 1]) | carry & (t[k - 1] == s[k - 1])
+                    t[k] += carry
+                s = t | (s - u)
+            common[at] = 64 * w - np.bitwise_count(s).sum(axis=0, dtype=np.int64)
+        total = self.size + len(value)
+        return np.where(total > 0, 200.0 * common / np.maximum(1, total), 100.0)
+
+
 def _column(measure):
     def batch(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else measure(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.session import cut_lineage
+
 # ---- filters -------------------------------------------------------------------------------------------------
 
 
@@ -166,27 +169,41 @@ def exact_matches(values: DataFrame, value: str, nodes: DataFrame) -> DataFrame:
     return v.join(both, "_k").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_k")
 
 
-def fuzzy_matches(values: DataFrame, value: str, nodes: DataFrame, least: float = 70.0) -> DataFrame:
+def fuzzy_matches(values: DataFrame, value: str, nodes: DataFrame, least: float = 70.0, block: int = 2_000) -> DataFrame:
     """Values with the most similar active entry of each vocabulary, at least ``least`` of 100.
 
-    Candidates share the value inside their name or a trigram of it; names of very different length can't reach the
-    limit and are left out before they are scored.
+    Every value is scored against every name, without candidates: typos, qualifiers and another order of words can leave
+    a pair above the limit that shares no rare trigram, or none. Values and names meet block by block, ``block`` of each in
+    a task, so the work grows with values x names and no task holds more than two blocks. Blank values and names match nothing.
     """
     from corvane.functions import fuzzy
 
-    v = values.select(F.col(value).alias("value"), F.lower(F.trim(value)).alias("key")).where("key <> ''").distinct()
-    n = nodes.where("is_active").select("vocabulary", "code", "display_name", F.lower("display_name").alias("name"))
-    # grams that most names have tell nothing apart: a pair must share one of the value's four rarest
-    grams = n.select("vocabulary", "code", "display_name", "name", F.explode(fuzzy.trigrams(F.col("name"))).alias("g"))
-    counts = grams.groupBy("g").agg(F.count("*").alias("c"))
-    vg = v.select("value", "key", F.explode(fuzzy.trigrams(F.col("key"))).alias("g")).join(counts, "g")
-    w = Window.partitionBy("value").orderBy("c", "g")
-    rare = vg.withColumn("_n", F.row_number().over(w)).where("_n <= 4").select("value", "key", "g")
-    most = (200 - least) / least
-    pairs = rare.join(grams, "g").select("value", "key", "vocabulary", "code", "display_name", "name").distinct()
-    pairs = pairs.where((F.length("key") <= most * F.length("name")) & (F.length("name") <= most * F.length("key")))
-    scored = pairs.withColumn("score", fuzzy.fuzzy_token_sort_ratio(F.col("key"), F.col("name"))).where(F.col("score") >= least)
-    return first_by(scored, ["value", "vocabulary"], [F.desc("score"), F.col("code")]).select("value", "vocabulary", "code", "display_name", F.round(F.col("score") / 100, 6).alias("confidence"))
+    v = cut_lineage(values.select(F.col(value).alias("value"), F.lower(F.trim(value)).alias("key")).where("key <> ''").distinct())
+    n = cut_lineage(nodes.where("is_active and trim(display_name) <> ''").select("vocabulary", "code", "display_name", F.lower("display_name").alias("name")).distinct())
+    v_blocks, n_blocks = (max(1, -(-df.count() // block)) for df in (v, n))
+    # each value goes to every block of names, and each name to every block of values
+    mine = lambda blocks, *c: F.pmod(F.xxhash64(*c), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = v.select("value", "key", mine(v_blocks, "key").alias("vb"), every(n_blocks).alias("nb"))
+    right = n.select("*", mine(n_blocks, *n.columns).alias("nb"), every(v_blocks).alias("vb"))
+
+    def best(some: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        names = names.sort_values(["vocabulary", "code", "display_name"], ignore_index=True)
+        table, out = fuzzy.NameTable(names["name"].tolist()), []
+        first = names["vocabulary"].ne(names["vocabulary"].shift()).to_numpy().nonzero()[0]
+        ends = [*first[1:], len(names)]
+        for key, same in some.groupby("key")["value"]:
+            score = table.scores(key)
+            for lo, hi in zip(first, ends, strict=True):
+                k = lo + int(score[lo:hi].argmax())  # the first of equals
+                if score[k] >= least:
+                    out += [(x, *names.loc[k, ["vocabulary", "code", "display_name"]], float(score[k])) for x in same]
+        return pd.DataFrame(out, columns=["value", "vocabulary", "code", "display_name", "score"])
+
+    kinds = dict(n.dtypes)
+    shape = f"value {dict(v.dtypes)['value']}, vocabulary {kinds['vocabulary']}, code {kinds['code']}, display_name {kinds['display_name']}, score double"
+    scored = left.groupBy("vb", "nb").cogroup(right.groupBy("vb", "nb")).applyInPandas(best, shape)
+    return first_by(scored, ["value", "vocabulary"], [F.desc("score"), F.col("code"), F.col("display_name")]).select("value", "vocabulary", "code", "display_name", F.round(F.col("score") / 100, 6).alias("confidence"))
 
 
 # ---- aggregation ---------------------------------------------------------------------------------------------

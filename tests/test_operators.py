@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from corvane.functions.fuzzy import token_sort_ratio
 from corvane.operators import graph as G
 from corvane.operators import relational as R
 from corvane.operators import sinks as K
@@ -120,3 +121,27 @@ def test_fuzzy_matches(spark):
     nodes = spark.createDataFrame([("umls", "1", "type 2 diabetes", True), ("umls", "2", "diabetes type", True), ("snomed", "3", "type 2 diabetes", False)], "vocabulary string, code string, display_name string, is_active boolean")
     values = spark.createDataFrame([("diabetes type 2",), ("nothing like it",), (None,)], "v string")
     assert [(r.value, r.code, r.confidence) for r in R.fuzzy_matches(values, "v", nodes).collect()] == [("diabetes type 2", "1", 1.0)]
+
+
+def test_fuzzy_matches_equal_brute_force_with_qualifiers_and_typos(spark):
+    rng = random.Random(3)
+    stems = ["".join(rng.choice("bcdfglmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(2, 6))) for _ in range(60)]
+    names = sorted({" ".join([*([rng.choice(["juvenile", "nocturnal", "chronic"])] if rng.random() < 0.7 else []), s, rng.choice(["dermatosis", "drowsiness", "headache"])]) for s in stems}) + ["", "x" * 70 + " " + "yz" * 40, None]
+    nodes = [(f"v{i % 3}", str(i), n, True) for i, n in enumerate(names)]
+    values = ["", " ", "SUSPECTED " + names[0].upper(), "x" * 66 + "q" + " " + "yz" * 38, "suspected" + names[1][4:]]
+    for n in names[:40]:
+        t = list(n)
+        for _ in range(rng.randrange(1, 5)):
+            t[rng.randrange(len(t))] = rng.choice("qxk")
+        values += ["".join(t), f"Suspected {n}", f"quite probable {n[2:]}"]
+    v, n = spark.createDataFrame([(x,) for x in values], "v string"), spark.createDataFrame(nodes, "vocabulary string, code string, display_name string, is_active boolean")
+    want = {}
+    for value in filter(str.strip, values):
+        for vocabulary, code, name, _ in nodes:
+            score = token_sort_ratio(value.strip().lower(), name) if name else 0
+            if score >= 70:
+                want[value, vocabulary] = min(want.get((value, vocabulary), (0, "")), (-score, code))
+    want = {k: (code, round(-score / 100, 6)) for k, (score, code) in want.items()}
+    for blocks in ({}, {"block": 25}):
+        assert {(r.value, r.vocabulary): (r.code, r.confidence) for r in R.fuzzy_matches(v, "v", n, **blocks).collect()} == want
+    assert len(want) > 40
