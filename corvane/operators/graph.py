@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.relational import endpoints, set_overlap
@@ -100,82 +100,160 @@ def overlap_graph(meta_graphs: DataFrame, entities: DataFrame, least: int = 5) -
     return v, w.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"), F.col("shared").cast("double").alias("weight"))
 
 
-def _modularity_moves(n: int, edges: list[tuple[int, int, float]], limit: int, rng: np.random.Generator) -> np.ndarray:
-    """Labels after moving vertices to the neighbouring community of most gain while communities stay within ``limit``."""
-    near = defaultdict(list)
-    degree = np.zeros(n)
+# Fixed value: gains below it are rounding.
+_LEAST_GAIN = 1e-12
+
+
+def _order(seed: int, c: str) -> Column:
+    """A number of a vertex by which equal gains are told apart: in the order of ids a path would settle end to end."""
+    return F.xxhash64(F.lit(seed).cast("long"), c)
+
+
+def _settle(ids: list, hashes: dict, edges: list[tuple], limit: int) -> dict:
+    """``{id: community}`` of one component: the rounds of ``_settled`` in the memory of a task."""
+    near, degree = defaultdict(list), defaultdict(float)
     for a, b, w in edges:
         near[a].append((b, w)), near[b].append((a, w))
         degree[a] += w
         degree[b] += w
-    label, total, size, m2 = np.arange(n), degree.copy(), np.ones(n, dtype=int), max(degree.sum(), 1e-12)
-    for _ in range(20):
-        moved = False
-        for i in rng.permutation(n):
-            gains = defaultdict(float)
-            for j, w in near[i]:
-                gains[label[j]] += w
-            own = label[i]
-            total[own] -= degree[i]
-            size[own] -= 1
-            best, top = own, gains.get(own, 0.0) - total[own] * degree[i] / m2
-            for c, w in sorted(gains.items()):
-                g = w - total[c] * degree[i] / m2
-                if size[c] + 1 <= limit and g > top + 1e-12:
-                    best, top = c, g
-            label[i] = best
-            total[best] += degree[i]
-            size[best] += 1
-            moved |= best != own
-        if not moved:
-            break
+    m2 = sum(degree.values())
+    label = {x: x for x in ids}
+    merging, stale = True, 0
+    while stale < 2:
+        total, size = defaultdict(float), defaultdict(int)
+        for x, c in label.items():
+            total[c] += degree[x]
+            size[c] += 1
+        links = defaultdict(float)
+        for x in ids:
+            for y, w in near[x]:
+                links[(label[x] if merging else x), label[y]] += w
+        offers = []
+        for (x, c), w in links.items():
+            own = x if merging else label[x]
+            if own == c or size[c] + (size[own] if merging else 1) > limit:
+                continue
+            gain = w - total[c] * total[own] / m2 if merging else (w - links.get((x, own), 0.0)) - degree[x] * (total[c] - (total[own] - degree[x])) / m2
+            if gain > _LEAST_GAIN and (x < c or not merging):
+                offers.append((gain, hashes[x] ^ hashes[c], x, c, own))
+        best = {}
+        for o in offers:
+            for c in o[3:]:
+                best[c] = max(best.get(c, o), o)
+        taken = [o for o in offers if best[o[3]] == o == best[o[4]]]
+        if merging:
+            into = {c: own for *_, c, own in taken}
+            label = {x: into.get(c, c) for x, c in label.items()}
+        else:
+            label |= {x: c for _, _, x, c, _ in taken}
+        # a kind of step goes on while it finds something; both finding nothing in turn is the end
+        stale = 0 if taken else stale + 1
+        merging = merging if taken else not merging
     return label
 
 
+class _Folder:
+    """A folder in the checkpoint folder for the tables of a loop of joins.
+
+    A checkpoint goes on with the size the planner guessed, which joins multiply from round to round until the number
+    itself is too large; a table read from files has the size of its files.
+    """
+
+    def __init__(self, df: DataFrame) -> None:
+        cut_lineage(df.limit(0))  # makes the checkpoint folder where there is none
+        self.spark, self.n = df.sparkSession, 0
+        self.path = f"{self.spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.path}/{self.n}")
+        kept = self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
+        kept._at = f"{self.path}/{self.n}"
+        return kept
+
+    def remove(self, *kept: DataFrame) -> None:
+        """Delete tables that aren't read any more, or without any the folder."""
+        sc = self.spark.sparkContext
+        for path in [df._at for df in kept] or [self.path]:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _settled(vertices: DataFrame, e: DataFrame, limit: int, seed: int) -> DataFrame:
+    """``(id, label)`` of components too large for a task: the same rounds as ``_settle``, as joins.
+
+    In a round every pair of linked communities offers to merge, or every vertex to move to a linked community. An offer
+    is taken if it gains most for both communities it touches; what is taken touches no community twice, so the gains
+    add up and modularity only rises. Rounds end when nothing gains. ``vertices`` has id and component.
+    """
+    folder = _Folder(e)
+    both = folder.keep(e.select("src", "dst", "weight").union(e.select("dst", "src", "weight")).join(vertices.select(F.col("id").alias("src"), "component"), "src"))
+    degree = folder.keep(both.groupBy("component", F.col("src").alias("id")).agg(F.sum("weight").alias("d")))
+    m2 = folder.keep(degree.groupBy("component").agg(F.sum("d").alias("m2")))
+    state = folder.keep(degree.select("id", "d", F.col("id").alias("label")))
+    merging, stale = True, 0
+    while stale < 2:
+        sums = folder.keep(state.groupBy("label").agg(F.sum("d").alias("total"), F.count("*").alias("size")))
+        side = lambda c: sums.select(F.col("label").alias(c), F.col("total").alias(f"{c}_total"), F.col("size").alias(f"{c}_size"))  # noqa: B023, E731
+        far = both.join(state.select(F.col("id").alias("dst"), F.col("label").alias("c")), "dst")
+        if merging:
+            links = far.join(state.select(F.col("id").alias("src"), F.col("label").alias("x")), "src").where("x < c").groupBy("component", "x", "c").agg(F.sum("weight").alias("w"))
+            links = links.withColumn("own", F.col("x")).join(m2, "component").join(side("own"), "own").join(side("c"), "c")
+            offers = links.where(F.col("c_size") + F.col("own_size") <= limit).withColumn("gain", F.col("w") - F.col("c_total") * F.col("own_total") / F.col("m2"))
+        else:
+            links = far.groupBy("component", F.col("src").alias("x"), "c").agg(F.sum("weight").alias("w")).join(state.select(F.col("id").alias("x"), "d", F.col("label").alias("own")), "x")
+            inner = links.where("c = own").select("x", F.col("w").alias("inner"))
+            links = links.where("c <> own").join(inner, "x", "left").na.fill(0.0, ["inner"]).join(m2, "component").join(side("own"), "own").join(side("c"), "c")
+            offers = links.where(F.col("c_size") + 1 <= limit).withColumn("gain", (F.col("w") - F.col("inner")) - F.col("d") * (F.col("c_total") - (F.col("own_total") - F.col("d"))) / F.col("m2"))
+        offer = F.struct("gain", _order(seed, "x").bitwiseXOR(_order(seed, "c")).alias("h"), "x", "c", "own")
+        offers = folder.keep(offers.where(F.col("gain") > _LEAST_GAIN).select(offer.alias("o")))
+        best = folder.keep(offers.select("o", F.explode(F.array("o.c", "o.own")).alias("at")).groupBy("at").agg(F.max("o").alias("o")))
+        taken = folder.keep(best.groupBy("o").agg(F.count("*").alias("n")).where("n = 2").select("o.*"))
+        if taken.limit(1).count():
+            key, to = ("label", "own") if merging else ("id", "c")
+            moved = taken.select(F.col("c" if merging else "x").alias(key), F.col(to).alias("_to"))
+            old, state = state, folder.keep(state.join(moved, key, "left").select("id", "d", F.coalesce("_to", "label").alias("label")))
+            folder.remove(old)
+            stale = 0
+        else:
+            merging, stale = not merging, stale + 1
+        folder.remove(sums, offers, best, taken)
+    out = cut_lineage(state.select("id", "label"))
+    folder.remove()
+    return out
+
+
 def communities(edges: DataFrame, max_size: int = 10, seed: int = 0xDEADBEEF, most_vertices: int = 20_000) -> DataFrame:
     """``(id, level, cluster)``: components at level 0, cut by modularity into communities of at most ``max_size`` at level 1.
 
-    A component within ``max_size`` is one community. Larger ones are worked on each by itself; a component of more than
-    ``most_vertices`` vertices, which no task should hold, is first cut by label propagation in rounds of joins.
+    A component within ``max_size`` is one community. Larger ones are settled by merges and moves that gain most, each
+    component by itself. One of at most ``most_vertices`` vertices is settled in a task, a larger one by joins, with the
+    same offers taken in the same rounds, equal ones in an order by ``seed``: where the work is done doesn't change the communities (sums of weights that
+    aren't whole numbers apart, which may differ in the last digit).
     """
     comp = connected_components(edges)
-    sized = comp.join(comp.groupBy("component").agg(F.count("*").alias("n")), "component")
+    sized = cut_lineage(comp.join(comp.groupBy("component").agg(F.count("*").alias("n")), "component"))
     e = edges.select(F.col(edges.columns[0]).alias("src"), F.col(edges.columns[1]).alias("dst"), (F.col("weight") if "weight" in edges.columns else F.lit(1.0)).cast("double").alias("weight")).where("src <> dst")
-    blocks = cut_lineage(sized.withColumn("block", F.col("component").cast("string")))
-    if blocks.where(F.col("n") > most_vertices).limit(1).count():
-        blocks = cut_lineage(_propagated(blocks, e, most_vertices))
-    own = blocks.select(F.col("id").alias("src"), F.col("block").alias("b1"), "n")
-    inside = e.join(own, "src").join(blocks.select(F.col("id").alias("dst"), F.col("block").alias("b2")), "dst").where((F.col("b1") == F.col("b2")) & (F.col("n") > max_size))
+    inside = e.join(sized.where(F.col("n") > max_size).select(F.col("id").alias("src"), "component", "n"), "src")
+    small = inside.where(F.col("n") <= most_vertices).withColumns({"hs": _order(seed, "src"), "hd": _order(seed, "dst")})
 
     def split(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(rows["src"]) | set(rows["dst"]))
-        at = {x: i for i, x in enumerate(ids)}
-        label = _modularity_moves(len(ids), [(at[a], at[b], w) for a, b, w in sorted(zip(rows["src"], rows["dst"], rows["weight"], strict=True))], max_size, np.random.default_rng(seed))
-        head = {}
-        for i, x in enumerate(ids):
-            head.setdefault(label[i], x)
-        return pd.DataFrame({"id": ids, "cluster": [str(head[label[i]]) for i in range(len(ids))]})
+        hashes = dict(zip(rows["src"], rows["hs"].tolist(), strict=True)) | dict(zip(rows["dst"], rows["hd"].tolist(), strict=True))
+        label = _settle(sorted(hashes), hashes, sorted(zip(rows["src"], rows["dst"], rows["weight"], strict=True)), max_size)
+        return pd.DataFrame({"id": label.keys(), "label": label.values()})
 
     kind = dict(edges.dtypes)[edges.columns[0]]
-    cut = inside.select("b1", "src", "dst", "weight").groupBy("b1").applyInPandas(split, f"id {kind}, cluster string")
-    top = comp.select("id", F.lit(0).alias("level"), F.col("component").cast("string").alias("cluster"))
-    whole = blocks.join(cut, "id", "left").select("id", F.lit(1).alias("level"), F.coalesce("cluster", F.when(F.col("n") <= max_size, F.col("block")), F.col("id").cast("string")).alias("cluster"))
+    cut = small.groupBy("component").applyInPandas(split, f"id {kind}, label {kind}")
+    large = sized.where((F.col("n") > max_size) & (F.col("n") > most_vertices))
+    if large.limit(1).count():
+        cut = cut.unionByName(_settled(large, inside.where(F.col("n") > most_vertices).select("src", "dst", "weight"), max_size, seed))
+    cut = cut_lineage(cut)
+    named = cut.join(cut.groupBy("label").agg(F.min("id").alias("cluster")), "label").select("id", F.col("cluster").cast("string").alias("cluster"))
+    top = sized.select("id", F.lit(0).alias("level"), F.col("component").cast("string").alias("cluster"))
+    whole = sized.join(named, "id", "left").select("id", F.lit(1).alias("level"), F.coalesce("cluster", F.col("component").cast("string")).alias("cluster"))
     return top.unionByName(whole)
 
 
-def _propagated(blocks: DataFrame, e: DataFrame, most: int, rounds: int = 5) -> DataFrame:
-    """Blocks for vertices of oversized components: the label most of the neighbours have, a salt where a label stays too large."""
-    large = blocks.where(F.col("n") > most)
-    both = e.select("src", "dst", "weight").union(e.select("dst", "src", "weight"))
-    label = large.select("id", F.col("id").cast("string").alias("label"))
-    for _ in range(rounds):
-        votes = both.join(label.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        label = cut_lineage(votes.groupBy("src").agg(F.max_by("label", F.struct("w", "label")).alias("label")).withColumnRenamed("src", "id"))
-    n = label.groupBy("label").agg(F.count("*").alias("k"))
-    salted = label.join(n, "label").select("id", F.concat_ws("#", "label", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / most).cast("int")).cast("string")).alias("b"))
-    return blocks.join(salted, "id", "left").withColumn("block", F.coalesce("b", "block")).drop("b")
-
-
 def community_schema(members: DataFrame, edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """``(cluster_key, level, title, nodes, edges, chunk_ids, occurrence)`` of communities ``(id, level, cluster)``.
 

@@ -58,6 +58,19 @@ def test_communities_are_a_partition_of_bounded_size(spark):
     assert G.communities(df, max_size=10, most_vertices=5).where("level = 1").count() == len(rows)
 
 
+def test_communities_are_the_same_in_a_task_and_by_joins(spark):
+    rng = random.Random(5)
+    groups = [(f"g{g:02d}_{i}", f"g{g:02d}_{j}", 3.0) for g in range(8) for i in range(7) for j in range(i) if rng.random() < 0.7]
+    links = [(f"g{g:02d}_{rng.randrange(7)}", f"g{g + 1:02d}_{rng.randrange(7)}", 1.0) for g in range(7)]
+    edges = groups + links + [("g00_0", f"leaf{i:02d}", 1.0) for i in range(12)] + [(f"p{i:02d}", f"p{i + 1:02d}", 1.0) for i in range(25)]
+    df = spark.createDataFrame(edges, "src string, dst string, weight double")
+    rows = [sorted(map(tuple, G.communities(df, most_vertices=m).collect())) for m in (20_000, 30, 5)]
+    assert rows[0] == rows[1] == rows[2]
+    part = spark.createDataFrame([(i, c) for i, level, c in rows[0] if level == 1], "id string, cluster string")
+    assert part.groupBy("cluster").count().where("count > 10").count() == 0
+    assert G.true_modularity(part, df).first().modularity > 0.75
+
+
 def test_paths(spark):
     e = spark.createDataFrame([("1", "a", "b", "p", 0.5, "x"), ("2", "b", "a", "q", None, None), ("3", "b", "c", "r", 1.0, "z")], "edge_id string, src string, dst string, predicate string, confidence double, evidence string")
     seeds = spark.createDataFrame([("a",)], "id string")
