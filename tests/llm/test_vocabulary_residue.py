@@ -58,3 +58,18 @@ def test_marking_with_and_without_broadcast(spark):
     joined = {r.id: r.kind for r in R.mark_residue(df, "id", "host", "text", recurrent=3, most_broadcast=0).collect()}
     assert few == joined == {0: None, 1: "error", 2: "slot", 3: None, 9: None, 10: None, 11: "filler"}
     assert R.mark_residue(df.limit(0), "id", "host", "text").count() == 0
+
+
+LONG = "The page could not be found on this server because the address that was typed or followed from another site no longer leads to a record of the archive and the link that led here is out of date"
+
+
+@pytest.mark.parametrize("text", [LONG, "Die gewünschte Webseite ist nicht verfügbar", "Der Webserver nicht erreichbar"])
+def test_long_sentences_and_parts_of_words_are_evidence(text):
+    assert R.evidence(text)[0] == "error"
+
+
+def test_cues_change_nothing(monkeypatch):
+    texts = [t for ts in TEXTS.values() for t in ts if t] + [LONG, REAL + "\n" + LONG, "PLEAſE TRY AGAİN LATER", "Webseite ist nicht verfügbar", "Home | Menu\n" + REAL, "Ref 12ab\nLoading\nBack to top"]
+    gated = [R.evidence(t) for t in texts]
+    monkeypatch.setattr(R, "_CUES", dict.fromkeys(R._CUES, frozenset([""])))
+    assert gated == [R.evidence(t) for t in texts]
