@@ -108,8 +108,8 @@ def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that had to be split."""
-    return p6_packed(spark, sf_dir).where(F.col("pieces") > 1).select("doc_id").distinct()
+    """Documents that had to be split. The packing is written whole, else the planner leaves out all that this doesn't ask for."""
+    return cut_lineage(p6_packed(spark, sf_dir)).where(F.col("pieces") > 1).select("doc_id").distinct()
 
 
 def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,10 +125,8 @@ def _source_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that can't reach their target share."""
-    docs = read_table(spark, sf_dir, "documents").where(F.col("source").isNotNull())
-    sizes = docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens"))
-    return mixing.source_report(sizes, read_table(spark, sf_dir, "source_targets")).where(~F.col("reachable")).select("source").distinct()
+    """Sources that can't reach their target share, by the report on the written mixture."""
+    return cut_lineage(p7_shares(spark, sf_dir)).where(~F.col("reachable")).select("source").distinct()
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

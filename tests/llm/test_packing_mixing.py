@@ -55,3 +55,15 @@ def test_mixture_reaches_shares_within_a_record(spark):
     assert not report["tiny"].reachable and most["tiny"] == 4 and most["small"] <= 3 and most["big"] == 1
     assert 0 <= report["big"].budget - used["big"] <= 16 and 0 <= report["small"].budget - used["small"] <= 5
     assert len(mix) == 2103 and {r.source for r in mix} == {"big", "small", "tiny"}
+
+
+def test_found_queries_do_the_whole_packing_and_mixing(spark, monkeypatch):
+    from corvane.llm import queries as Q
+
+    written, cut = [], Q.cut_lineage
+    monkeypatch.setattr(Q, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    split = {r.doc_id for r in Q.p6_found(spark, "/root/testdata/sf0.001").collect()}
+    assert split == {r.doc_id for r in Q.p6_packed(spark, "/root/testdata/sf0.001").where("pieces > 1").collect()}
+    short = {r.source for r in Q.p7_found(spark, "/root/testdata/sf0.001").collect()}
+    assert short == {r.source for r in Q.p7_shares(spark, "/root/testdata/sf0.001").where("not reachable").collect()}
+    assert any("container" in c for c in written) and any("used_tokens" in c for c in written)
