@@ -55,6 +55,7 @@ REASONING_WORDS = (
     "calculate", "compute", "derive", "interpret", "efficacy", "safety", "outcomes", "results", "correlation", "significance", "p-value", "confidence interval",
 )
 VISUAL_WORDS = ("figure", "chart", "diagram", "image", "graph", "plot", "table", "visualization", "flowchart", "schematic", "efficacy curve", "survival curve", "kaplan-meier")
+# Words of questions that compare things.
 COMPARISON_WORDS = ("relationship", "difference", "between", "compared to")
 # Models a question may be sent to, and their context windows in tokens.
 CONTEXT_WINDOWS = {"gpt-4.1": 1_047_576, "gpt-5-mini": 400_000}
@@ -65,9 +66,12 @@ LABEL_TYPES = {
     "DISEASE": "condition", "SYMPTOM": "condition", "CHEMICAL": "medication", "DRUG": "medication", "MEDICATION": "medication", "TREATMENT": "procedure", "TEST": "procedure",
     "ORG": "organization", "PERSON": "other", "DATE": "timepoint", "CARDINAL": "measurement", "QUANTITY": "measurement", "PERCENT": "statistic",
 }
+# Own choice: endings of medicine names, after the public naming stems.
 DRUG_SUFFIXES = ("mab", "nib", "parib", "ciclib", "tinib", "zumab", "ximab", "statin", "pril", "sartan", "olol", "azole", "mycin", "cillin", "vir")
+# Texts that make a table cell a measurement, and those that make it a point in time.
 MEASURE_MARKS = ("mg", "ml", "kg", "%", "mcg", "iu", "mmol")
 TIME_MARKS = ("day", "week", "month", "year", "hour", "minute")
+# Fixed value: where a sentence ends.
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z])"
 
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import accumulate, islice, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 
+# Where a section of a large text may end, in order of preference.
+SECTION_MARKS = (". ", ".\n", "!\n", "?\n")
 _BREAK = re.compile(T.SENTENCE_BREAK)
 _HEADERS = [(kind, [re.compile(p) for p in ps]) for kind, ps in T.SECTION_HEADERS.items()]
 
@@ -133,44 +137,53 @@ def _chunk(parts: list[Sentence]) -> Chunk:
     return Chunk(text, sum(s.tokens for s in parts), section, next((s.header for s in parts if s.header), None), len(parts), parts[0].start, parts[-1].end, tables, figures, hints, coherence)
 
 
+def pack_spans(sizes: list[int], target: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """N12 over sizes alone: the sentences ``first`` to ``stop`` of each chunk, found by bisection in the running total.
+
+    A chunk reaches as far as ``target`` allows from its first sentence, and at least one sentence beyond its forerunner; it
+    begins as far back as ``overlap`` allows, though not before its forerunner's beginning.
+    """
+    upto = [0, *accumulate(sizes)]
+    first = stop = 0
+    while stop < len(sizes):
+        stop = max(stop + 1, bisect_right(upto, upto[first] + target) - 1)
+        yield first, stop
+        first = max(first, bisect_left(upto, upto[stop] - overlap)) if overlap > 0 else stop
+
+
 def pack_sentences(parts: list[Sentence], target: int, overlap: int) -> list[Chunk]:
     """Chunks of at most ``target`` words, each beginning with the last sentences of the one before that fit ``overlap``."""
-    out, now, size = [], [], 0
-    for s in parts:
-        if now and size + s.tokens > target:
-            out.append(_chunk(now))
-            kept, held = [], 0
-            for back in reversed(now if overlap > 0 else []):
-                if held + back.tokens > overlap:
-                    break
-                kept.insert(0, back)
-                held += back.tokens
-            now, size = kept, held
-        now.append(s)
-        size += s.tokens
-    return out + ([_chunk(now)] if now else [])
+    return [_chunk(parts[a:b]) for a, b in pack_spans([s.tokens for s in parts], target, overlap)]
+
+
+def short_pairs(sizes: list[int], least: int, most: int) -> list[int]:
+    """Positions of the chunks that take in the next one: under ``least``, both within ``most``, no chunk in two pairs."""
+    wish = [a < least and a + b <= most for a, b in pairwise(sizes)]
+    # in a run of wishes every second one is granted
+    run = accumulate(wish, lambda n, w: n + 1 if w else 0, initial=0)
+    return [i for i, n in enumerate(islice(run, 1, None)) if n % 2]
+
+
+def _joined(c: Chunk, d: Chunk) -> Chunk:
+    """Two chunks as one, which keeps the first one's section and header."""
+    return replace(c, text=f"{c.text} {d.text}", tokens=c.tokens + d.tokens, sentences=c.sentences + d.sentences, end=d.end, tables=c.tables or d.tables, figures=c.figures or d.figures, hints=list(dict.fromkeys([*c.hints, *d.hints])), coherence=(c.coherence + d.coherence) / 2)
+
+
+def _halved(c: Chunk) -> list[Chunk]:
+    """A chunk cut at the middle one of its full stops with a blank; whole if it has none."""
+    stops = [m.start() for m in re.finditer(r"\. ", c.text)]
+    if not stops:
+        return [c]
+    at = stops[(len(stops) + 1) // 2 - 1]
+    return [replace(c, text=t, tokens=len(t.split()), sentences=t.count(". ") + 1) for t in (c.text[: at + 1], c.text[at + 2 :])]
 
 
 def even_out(chunks: list[Chunk], least: int, most: int) -> list[Chunk]:
     """A chunk under ``least`` words joins the next if both fit ``most``; one over ``most`` is cut at its middle ". "."""
-    out, i = [], 0
-    while i < len(chunks):
-        c = chunks[i]
-        if c.tokens < least and i + 1 < len(chunks) and c.tokens + chunks[i + 1].tokens <= most:
-            d = chunks[i + 1]
-            hints = list(dict.fromkeys(c.hints + d.hints))
-            out.append(Chunk(f"{c.text} {d.text}", c.tokens + d.tokens, c.section, c.header, c.sentences + d.sentences, c.start, d.end, c.tables or d.tables, c.figures or d.figures, hints, (c.coherence + d.coherence) / 2))
-            i += 2
-            continue
-        if c.tokens > most and len(c.text.split(". ")) > 1:
-            parts = c.text.split(". ")
-            half = len(parts) // 2
-            for text in (". ".join(parts[:half]) + ".", ". ".join(parts[half:])):
-                out.append(Chunk(text, len(text.split()), c.section, c.header, len(text.split(". ")), c.start, c.end, c.tables, c.figures, c.hints, c.coherence))
-        else:
-            out.append(c)
-        i += 1
-    return out
+    heads = set(short_pairs([c.tokens for c in chunks], least, most))
+    kept = (_joined(c, chunks[i + 1]) if i in heads else c for i, c in enumerate(chunks) if i - 1 not in heads)
+    # a pair is within the limit already
+    return [part for c in kept for part in (_halved(c) if c.tokens > most else [c])]
 
 
 def semantic_chunks(df: DataFrame, id_col: str, text_col: str, target: int = 1_200, overlap: int = 100, least: int = 200, most: int = 2_000) -> DataFrame:
@@ -195,23 +208,27 @@ def semantic_chunks(df: DataFrame, id_col: str, text_col: str, target: int = 1_2
 
 
 def large_sections(text: str, size: int = 40_000, back: int = 2_000, overlap: int = 1_000, least: int = 100) -> Iterator[tuple[int, int]]:
-    """``(start, end)`` of overlapping sections of a large text, ended at the last sentence end near the limit."""
+    """``(start, end)`` of overlapping sections of a large text, ended at the last sentence end near the limit.
+
+    The places of every kind of sentence end are listed once; a section's end is then found by bisection, the kinds in the
+    order of ``SECTION_MARKS``. A section of fewer than ``least`` characters is skipped and has nothing to overlap with.
+    """
+    stops = [[m.end() for m in re.finditer(re.escape(mark), text)] for mark in SECTION_MARKS]
+
+    def end_of(start: int) -> int:
+        limit = start + size
+        if limit >= len(text):
+            return len(text)
+        last = (at[k - 1] for at in stops if (k := bisect_right(at, limit)))
+        return next((e for e in last if e >= max(start, limit - back) + 2), limit)
+
     start = 0
     while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            for mark in (". ", ".\n", "!\n", "?\n"):
-                at = text.rfind(mark, start + size - back, end)
-                if at != -1:
-                    end = at + len(mark)
-                    break
-        if len(text[start:end].strip()) >= least:
+        end = end_of(start)
+        worth = len(text[start:end].strip()) >= least
+        if worth:
             yield start, end
-        elif end <= start:
-            return
-        if end >= len(text):
-            return
-        start = max(end - overlap, start + 1) if len(text[start:end].strip()) >= least else end
+        start = len(text) if end == len(text) else max(end - overlap, start + 1) if worth else end
 
 
 def section_windows(df: DataFrame, id_col: str, text_col: str, **limits: int) -> DataFrame:

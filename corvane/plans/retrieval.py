@@ -174,7 +174,7 @@ def context_chunks(results: DataFrame, chunks: DataFrame, n: int = 10) -> DataFr
 
 def flag_notes(flags: Column) -> Column:
     """notes on a mention's context."""
-    notes = (("is_negated", "NEGATED-no evidence"), ("is_historical", "HISTORICAL-past event"), ("is_hypothetical", "HYPOTHETICAL-if scenario"), ("is_uncertain", "UNCERTAIN-possible"), ("is_family", "FAMILY-not patient"))
+    notes = (("is_negated", "denied"), ("is_historical", "in the past"), ("is_hypothetical", "only supposed"), ("is_uncertain", "not certain"), ("is_family", "of a relative"))
     return F.array_compact(F.array(*(F.when(flags[k], F.lit(v)) for k, v in notes)))
 
 
@@ -189,12 +189,15 @@ def prompt(query: str, picked: DataFrame, results: DataFrame, flags: DataFrame |
     w = Window.partitionBy("chunk_id", F.col("hops") > 0).orderBy(F.desc("final_score"), "entity_id")
     r = r.join(picked.select("chunk_id"), "chunk_id", "left_semi").withColumn("_n", F.row_number().over(w)).withColumn("name", name)
     direct = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("hops") == 0) & (F.col("_n") <= 10), F.struct("_n", "name")))), lambda x: x["name"]), ", ")
-    via = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("hops") > 0) & (F.col("_n") <= 5), F.struct("_n", F.concat("name", F.lit(", "), F.col("hops").cast("string"), F.lit("-hop")).alias("name"))))), lambda x: x["name"]), ", ")
+    via = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("hops") > 0) & (F.col("_n") <= 5), F.struct("_n", F.concat("name", F.lit(" at distance "), F.col("hops").cast("string")).alias("name"))))), lambda x: x["name"]), ", ")
     lists = r.groupBy("chunk_id").agg(direct.alias("direct"), via.alias("via"))
-    block = F.concat_ws("\n", F.concat(F.lit("--- Source "), F.col("position").cast("string"), F.lit(": document "), F.col("document_id").cast("string"), F.lit(" ---")), F.concat(F.lit("Text: "), F.substring("content", 1, 1500)), F.when(F.col("direct") != "", F.concat(F.lit("Key entities: "), "direct")), F.when(F.col("via") != "", F.concat(F.lit("Related entities (via graph): "), "via")))
+    head = F.concat(F.lit("["), F.col("position").cast("string"), F.lit("] document "), F.col("document_id").cast("string"))
+    found = F.when(F.col("direct") != "", F.concat(F.lit("Mentions found: "), "direct"))
+    linked = F.when(F.col("via") != "", F.concat(F.lit("Reached over relations: "), "via"))
+    block = F.concat_ws("\n", head, F.substring("content", 1, 1500), found, linked)
     parts = picked.join(lists, "chunk_id", "left").select("position", block.alias("b"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "b"))), lambda x: x["b"]), "\n\n")
-    return parts.agg(F.concat(F.lit(f"Question: {query}\n\nContext:\n\n"), body, F.lit("\n\nBased on the above context, answer the question. Cite study ids when possible.")).alias("prompt"))
+    return parts.agg(F.concat(F.lit("Excerpts of study documents:\n\n"), body, F.lit(f"\n\nAnswer from these excerpts alone and give the number of the excerpt that each statement rests on.\n{query}")).alias("prompt"))
 
 
 def global_context(results: DataFrame) -> DataFrame:
