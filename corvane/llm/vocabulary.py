@@ -1,49 +1,57 @@
 """Mapping free-entered values to a canonical list through a character n-gram inverted index.
 
-Values are deduplicated before anything else. A value is normalised (case, accents, spacing, sound-alike
-spellings, doubled letters), its n-grams look up candidate names in an inverted index, and the candidates are
-scored by the cosine of n-gram vectors weighted by rarity. A name is accepted above ``threshold`` when it
-leads the best name of any other entry by ``margin``; an edit-distance check of the words follows, so that a
-name which differs only in its one telling word isn't taken for its neighbour. What fails is reported as
-having no entry.
+Values are deduplicated and normalised (case, accents, spacing, sound-alike spellings, doubled letters, filler
+words). The index is a table of n-grams and the names that hold them, each n-gram weighted by its rarity among
+all names. A value and a name meet in it only on their rarest n-grams (a prefix of each, just long enough that
+no pair of at least ``threshold`` can be missed), are scored by the weighted cosine of all their n-grams, and a
+name is accepted when it has the largest cosine and leads the names of all other entries by ``margin``. Edits
+decide only between names within the margin. What is to be accepted must also answer to the value word by word,
+so that a name which differs in its one telling word isn't taken for its neighbour; a code must agree in every
+sign. What fails is reported as having no entry.
 
-Nothing is broadcast: entries and values meet in groups of (block of entries, block of values), both bounded
-by parameters, and the best entry of every block is merged.
+Filler words are learnt from the list and the values: words of no name that stand beside the exact names of
+several entries. N-grams that no name holds have no weight, so a misspelling costs the n-grams it destroys only.
+
+No block of values meets a block of names: all is joins on n-grams and keys. A list of at most ``most_broadcast``
+names is counted first and its index goes to the tasks whole; a longer one is joined by shuffle, with the same result.
 
 Defined results: a null or blank value has no entry; ties between different entries have none, for neither
-leads; inactive entries count as entries. Repeated rows count once by key. Extra columns are not read.
+leads; inactive entries count as entries. Repeated rows count once by key. Extra columns are not read. Without
+entries no value has one.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words around a name that don't belong to it.
-FILLERS = frozenset(
-    "hx of known suspected history possible probable query test tests tablets tablet capsule capsules inj injection "
-    "infusion oral sodium salt hydrochloride hcl mesylate maleate acetate citrate phosphate sulfate tartrate "
-    "central local lab laboratory si unit units the a an new ongoing prior past recent mild moderate severe po iv sc type with spread pt patient".split()
-)
+from corvane.session import cut_lineage
+
+# Words around a name that don't belong to it, known beforehand.
+FILLERS = frozenset("a an the of with and or hx history known suspected possible probable query test tests tablet tablets capsule capsules injection oral sodium salt hydrochloride hcl unit units central local lab laboratory type patient pt".split())
 # Spellings that sound alike, applied in this order.
 SOUNDS = (("ph", "f"), ("qu", "kw"), ("x", "ks"), ("ck", "k"), ("c", "k"), ("y", "i"))
 # Amounts beside a name, and forms of a medicine.
 _DOSE = re.compile(r"\b\d[\d.,\- ]*\s?(?:mg|mcg|ug|g|kg|ml|l|iu|u|units?|%)(?:/\w+)?\b|\b(?:caps?|tabs?|amp|vials?)\b\.?")
+_ASIDE = re.compile(r"[(\[{][^)\]}]*[)\]}]")
 _WORD = re.compile(r"[^\W_]+")
 
 
+@lru_cache(maxsize=100_000)
 def fold(text: str) -> str:
     """Lower case without accents, one blank for each run of white space."""
     plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return " ".join(plain.casefold().split())
 
 
+@lru_cache(maxsize=200_000)
 def sound(text: str) -> str:
     """A spelling shared by words that sound alike: sound-alike letters, no doubled letters."""
     for a, b in SOUNDS:
@@ -51,42 +59,48 @@ def sound(text: str) -> str:
     return re.sub(r"(.)\1+", r"\1", text)
 
 
+@lru_cache(maxsize=400_000)
 def edits(a: str, b: str, most: int) -> int:
-    """Edit distance with swaps of neighbours counted once; ``most`` + 1 when it is larger than ``most``."""
+    """Edit distance with swaps of neighbours counted once; ``most`` + 1 when it is larger than ``most``.
+
+    The columns of the distance table are kept as the bits of integers, one bit a character of ``a``.
+    """
     if abs(len(a) - len(b)) > most:
         return most + 1
-    if a == b:
-        return 0
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, before[j - 2] + 1)
-            row.append(best)
-        if min(row) > most:
-            return most + 1
-        before, last = last, row
-    return last[-1]
-
-
-def forms(text: str) -> list[str]:
-    """Ways to read a value: as it stands, parts around a comma turned round, and both without filler words."""
+    if a == b or not a:
+        return len(b) if not a else 0
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    up, down, diagonal, before, d = full, 0, 0, 0, len(a)
+    for c in b:
+        here = places.get(c, 0)
+        swap = ((~diagonal & here) << 1) & before
+        diagonal = (((here & up) + up) ^ up) | here | down | swap
+        rise, fall = down | ~(diagonal | up) & full, diagonal & up
+        d += bool(rise & last) - bool(fall & last)
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        up, down, before = (fall | ~(diagonal | rise)) & full, rise & diagonal & full, here
+    return min(d, most + 1)
+
+
+def readings(text: str) -> list[str]:
+    """Ways to read a value: as it stands, and the parts around a comma turned round."""
     base = fold(text)
-    base = re.sub(_DOSE, " ", base) if _WORD.search(re.sub(_DOSE, " ", base)) else base
-    base = re.sub(r"[(\[{][^)\]}]*[)\]}]", " ", base) if re.search(r"\w", re.sub(r"[(\[{][^)\]}]*[)\]}]", " ", base)) else base
+    for aside in (_DOSE, _ASIDE):
+        rest = aside.sub(" ", base)
+        base = rest if _WORD.search(rest) else base
     parts = [p for p in base.split(",") if _WORD.search(p)]
     out = [" ".join(parts)] + ([" ".join(parts[1:] + parts[:1])] if len(parts) > 1 else [])
     out = [" ".join(re.findall(r"[^\W_]+\.?", re.sub(r"(?<=\w)-(?=\w)", "", x))) for x in out]
-    lean = [" ".join(w for w in x.split() if not _filler(w)) for x in out]
-    return list(dict.fromkeys(x for x in [*out, *lean] if x))
+    return list(dict.fromkeys(x for x in out if x))
 
 
-def _filler(word: str) -> bool:
-    """Whether a word is a filler, or a long one misspelt."""
-    word = word.rstrip(".")
-    return word in FILLERS or len(word) >= 6 and any(len(f) >= 6 and edits(word, f, 2) <= 2 for f in FILLERS)
+def name_forms(name: str) -> list[str]:
+    """The spellings of a canonical name that are indexed."""
+    forms = readings(name) if "," in name else [fold(name)]
+    return list(dict.fromkeys(x for x in (" ".join(_WORD.findall(f)) for f in forms) if x))
 
 
 def is_code(name: str) -> bool:
@@ -99,161 +113,217 @@ def _tight(form: str) -> str:
     return form.replace(" ", "").replace(".", "")
 
 
-class NameIndex:
-    """Inverted index of the n-grams of all names of a block of entries."""
+class Fillers:
+    """Words that don't belong to a name, also misspelt if long."""
 
-    def __init__(self, names: list[tuple[int, str]], n: int = 3):
-        self.n, self.names = n, []
-        self.exact: dict[str, set[int]] = defaultdict(set)
-        seen = set()
-        for entry, name in names:
-            for form in forms(name)[:2] if "," in name else [fold(name)]:
-                tight = _tight(" ".join(_WORD.findall(form)))
-                if not tight:
-                    continue
-                self.exact[tight].add(entry)
-                if not is_code(name) and (entry, tight) not in seen:
-                    seen.add((entry, tight))
-                    words = _WORD.findall(form)
-                    self.names.append((entry, sound(tight), [(w, sound(w)) for w in words]))
-        grams = [self.grams(x) for _, x, _ in self.names]
-        count = Counter(g for gs in grams for g in gs)
-        self.weight = {g: np.log(1 + len(grams) / c) for g, c in count.items()}
-        self.rare = np.log(1 + len(grams))
-        self.norm = np.array([np.sqrt(sum(self.weight[g] ** 2 for g in gs)) for gs in grams])
-        posting = defaultdict(list)
-        for i, gs in enumerate(grams):
-            for g in gs:
-                posting[g].append(i)
-        self.posting = {g: np.array(p) for g, p in posting.items()}
-        self.entry_of = np.array([e for e, _, _ in self.names])
-
-    def grams(self, text: str) -> set[str]:
-        padded = f"^{text}$"
-        return {padded[i : i + self.n] for i in range(len(padded) - self.n + 1)}
-
-    def cosines(self, text: str) -> np.ndarray:
-        """Weighted cosine of a text with every indexed name that shares an n-gram with it."""
-        total, size = np.zeros(len(self.names)), 0.0
-        for g in self.grams(text):
-            w = self.weight.get(g)
-            if w is None:
-                size += self.rare**2
-            else:
-                size += w * w
-                total[self.posting[g]] += w * w
-        return total / np.where(self.norm > 0, self.norm, 1) / (np.sqrt(size) or 1)
-
-    @staticmethod
-    def agree(form: str, words: list[tuple[str, str]]) -> tuple[int, int] | None:
-        """Edits in all and in the worst word between a value and a name, or None where the words don't answer to each other.
-
-        A word may be broken in two, and a word with a full stop may be cut short. Edits are counted in the
-        spelling or in the sound, whichever has fewer.
-        """
-        have, total, worst = form.split(), 0, 0
-        used = [False] * len(have)
-        for w, heard in words:
-            most = min(3, max(1, len(w) // 3))
-            best = None
-            for i, x in enumerate(have):
-                if used[i]:
+    def __init__(self, words: frozenset[str]):
+        self.words, self.long, self.known = words, [w for w in words if len(w) >= 6], {}
+
+    def __contains__(self, word: str) -> bool:
+        word = word.rstrip(".")
+        if word not in self.known:
+            self.known[word] = word in self.words or len(word) >= 6 and any(edits(word, f, 2) <= 2 for f in self.long)
+        return self.known[word]
+
+    def without(self, form: str) -> str:
+        """A form without its filler words."""
+        return " ".join(w for w in form.split() if w not in self)
+
+
+def agree(form: str, name: str, fillers: Fillers) -> tuple[int, int] | None:
+    """Edits in all and in the worst word between a value and a name, or None where the words don't answer to each other.
+
+    A word may be broken in two, and a word with a full stop may be cut short. Edits are counted in the
+    spelling or in the sound, whichever has fewer.
+    """
+    have, total, worst = form.split(), 0, 0
+    used = [False] * len(have)
+    for w in name.split():
+        most = min(3, max(1, len(w) // 3))
+        heard, best = sound(w), None
+        for i, x in enumerate(have):
+            if used[i]:
+                continue
+            bare = x.rstrip(".")
+            if x.endswith(".") and len(bare) >= 2 and w.startswith(bare):
+                best = (0, (i,))
+                break
+            for span in ((i,), (i, i + 1)):
+                if span[-1] >= len(have) or used[span[-1]]:
                     continue
-                bare = x.rstrip(".")
-                if x.endswith(".") and len(bare) >= 2 and w.startswith(bare):
-                    best = (0, (i,))
-                    break
-                for span in ((i,), (i, i + 1)):
-                    if span[-1] >= len(have) or used[span[-1]]:
-                        continue
-                    text = _tight("".join(have[j] for j in span))
-                    d = min(edits(text, w, most), edits(sound(text), heard, most))
-                    if d <= most and (best is None or d < best[0]):
-                        best = (d, span)
-            if best is None:
-                return None
-            total, worst = total + best[0], max(worst, best[0])
-            for i in best[1]:
-                used[i] = True
-        if any(not u and not _filler(x) for u, x in zip(used, have, strict=True)):
+                text = _tight("".join(have[j] for j in span))
+                d = min(edits(text, w, most), edits(sound(text), heard, most))
+                if d <= most and (best is None or d < best[0]):
+                    best = (d, span)
+        if best is None:
             return None
-        return total, worst
-
-    def best(self, value: str, threshold: float, margin: float, sure: float, look: int = 16) -> tuple[int, float, int]:
-        """The entry a value means, its score, and the edits; entry -1 where none is close or none leads.
-
-        ``threshold`` is the least cosine of a candidate, ``sure`` that of one with three edits in one word.
-        """
-        ways = forms(value)
-        for form in ways:
-            hit = self.exact.get(_tight(form))
-            if hit:
-                return (next(iter(hit)), 1.0, 0) if len(hit) == 1 else (-1, 1.0, 0)
-        if not self.names:
-            return -1, 0.0, 0
-        found: dict[int, tuple[float, int]] = {}
-        for form in ways:
-            cos = self.cosines(sound(_tight(form)))
-            top = np.argpartition(-cos, look)[:look] if len(cos) > look else np.arange(len(cos))
-            for i in top[np.argsort(-cos[top], kind="stable")]:
-                if cos[i] < threshold:
-                    break
-                entry, name, words = self.names[i]
-                d = self.agree(form, words)
-                if d is None:
-                    e = edits(sound(_tight(form)), name, 2)
-                    d = (e, e) if e <= 2 and not self._other_word(form, words) else None
-                if d is not None and d[1] > 2 and cos[i] < sure:
-                    d = None
-                if d is not None and (entry not in found or (-d[0], cos[i]) > (-found[entry][1], found[entry][0])):
-                    found[entry] = (float(cos[i]), d[0])
-        if not found:
-            return -1, 0.0, 0
-        rank = sorted(found.items(), key=lambda x: (x[1][1], -x[1][0], x[0]))
-        if len(rank) > 1 and rank[0][1][1] == rank[1][1][1] and rank[0][1][0] - rank[1][1][0] < margin:
-            return -1, rank[0][1][0], rank[0][1][1]
-        return rank[0][0], *rank[0][1]
-
-    def _other_word(self, form: str, words: list[tuple[str, str]]) -> bool:
-        """Whether a word of the value is whole a word of other names and not of this one."""
-        known = self.__dict__.setdefault("_known", {w for _, _, ws in self.names for w, _ in ws})
-        return any(x in known and x not in {w for w, _ in words} for x in form.split())
+        total, worst = total + best[0], max(worst, best[0])
+        for i in best[1]:
+            used[i] = True
+    if any(not u and x not in fillers for u, x in zip(used, have, strict=True)):
+        return None
+    return total, worst
+
+
+def answers(forms: list[str], name: str, code: bool, cosine: float, sure: float, known: set[str], fillers: Fillers) -> int | None:
+    """Edits between a value and a name that it may mean, or None: fewest over the value's forms."""
+    tight, best = _tight(name), None
+    for form in forms:
+        mine = _tight(form)
+        if mine == tight:
+            return 0
+        if code:
+            continue
+        d = agree(form, name, fillers)
+        if d is None:
+            e = edits(sound(mine), sound(tight), 2)
+            d = (e, e) if e <= 2 and not known & set(form.split()) - set(name.split()) else None
+        if d is not None and (d[1] <= 2 or cosine >= sure) and (best is None or d[0] < best):
+            best = d[0]
+    return best
+
+
+def _grams(key: Column, n: int) -> Column:
+    """The distinct n-grams of a padded key."""
+    padded = F.concat(F.lit("^"), key, F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(n))))
+
+
+def _vectors(keys: DataFrame, weights: DataFrame, n: int, threshold: float, parts: int) -> DataFrame:
+    """``(id, grams, total, kept, rest)`` of ``(id, key)``: the n-grams that names hold, from rare to common, and their squared weights.
+
+    ``kept`` of them come first, until what is left, ``rest`` of ``total``, can't reach the threshold by itself.
+    """
+    grams = keys.select("id", F.explode(_grams(F.col("key"), n)).alias("gram")).join(weights, "gram").repartition(parts, "id")
+    v = grams.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("w2", "gram")), asc=False).alias("grams"))
+    add = lambda a, x: a + x["w2"]
+    v = v.withColumn("total", F.aggregate("grams", F.lit(0.0), add))
+    left = F.aggregate(
+        "grams", F.struct(F.col("total").alias("left"), F.lit(0).alias("n")),
+        lambda a, x: F.struct((a["left"] - x["w2"]).alias("left"), (a["n"] + F.when(a["left"] >= threshold**2 * F.col("total") * (1 - 1e-9), 1).otherwise(0)).alias("n")),
+        lambda a: a["n"],
+    )
+    v = v.withColumn("kept", left)
+    return v.withColumn("rest", F.aggregate(F.slice("grams", F.col("kept") + 1, F.size("grams")), F.lit(0.0), add))
+
+
+def learn_fillers(words: DataFrame, names: DataFrame, least_entries: int = 3, share: float = 0.2, most_fillers: int = 2_000) -> frozenset[str]:
+    """Words of no name that stand beside the exact names of entries.
+
+    ``words`` is ``(value, known, others)``, the value's words that names have, in order, and those that none has. Without
+    the latter a value may be the exact name of an entry; a word counts as a filler when that is so of at least ``share`` of
+    its values, of at least ``least_entries`` entries. The model has at most ``most_fillers`` words, those of most entries.
+    All values are counted.
+    """
+    rest = words.where(F.size("others") > 0).select(F.array_join("known", "").alias("tight"), "others")
+    exact = names.select(F.translate("name", " ", "").alias("tight"), "entry").groupBy("tight").agg(F.min("entry").alias("entry"))
+    credit = rest.join(exact, "tight", "left").select(F.explode("others").alias("word"), "entry")
+    # by word and entry first, so that a word of a third of all values is no single group
+    counted = credit.groupBy("word", "entry").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("entry").isNotNull(), F.col("n")).otherwise(0)).alias("beside"), F.count("entry").alias("entries"))
+    found = counted.where((F.col("entries") >= least_entries) & (F.col("beside") >= share * F.col("n"))).orderBy(F.desc("entries"), "word").limit(most_fillers)
+    return frozenset(r.word for r in found.select("word").collect())
 
 
 def map_values(
     values: DataFrame, value_col: str, entries: DataFrame, entry_cols: list[str], name_col: str, synonyms_col: str,
-    threshold: float = 0.15, margin: float = 0.02, sure: float = 0.62, block_entries: int = 50_000, block_values: int = 2_000,
+    threshold: float = 0.3, margin: float = 0.02, sure: float = 0.72, n: int = 3, fillers: frozenset[str] = FILLERS, rows_per_task: int = 4_000, most_broadcast: int = 20_000,
 ) -> DataFrame:
     """``(value, entry columns, score, edits)``: one row per distinct value, the entry columns null where it has no entry.
 
-    Both sides are counted first to choose the numbers of blocks; each block of entries is sent to each block of
-    values. With more than one block of entries the best entry of all blocks wins, by fewest edits, then by score.
+    ``threshold`` is the least cosine of a name, ``margin`` what it must lead the names of other entries by, ``sure`` the least
+    cosine of one with three edits in a word. ``fillers`` are known beforehand, further ones are learnt.
     """
-    names = entries.select(*(F.col(c).cast("string").alias(f"e{k}") for k, c in enumerate(entry_cols)), F.array_compact(F.concat(F.array(F.col(name_col)), F.coalesce(F.col(synonyms_col), F.array().cast("array<string>")))).alias("names"))
-    wanted = values.select(F.col(value_col).cast("string").alias("value")).where(F.trim("value") != "").distinct()
-    n_entries = max(1, -(-entries.count() // block_entries))
-    n_values = max(1, -(-values.count() // block_values))
     keys = [f"e{k}" for k in range(len(entry_cols))]
-    left = names.withColumn("eb", F.pmod(F.xxhash64(*keys), F.lit(n_entries)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_values - 1))))
-    right = wanted.withColumn("vb", F.pmod(F.xxhash64("value"), F.lit(n_values)).cast("int")).withColumn("eb", F.explode(F.sequence(F.lit(0), F.lit(n_entries - 1))))
-    shape = "value string, " + ", ".join(f"{k} string" for k in keys) + ", score double, edits int"
-
-    def match(e: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        e = e.sort_values(keys, ignore_index=True)
-        index = NameIndex([(i, x) for i, ns in enumerate(e["names"]) for x in ns])
-        found = [index.best(x, threshold, margin, sure) for x in v["value"]]
-        at = np.array([f[0] for f in found], dtype=np.int64)
-        out = {"value": v["value"].astype(object)} | {k: [e[k].iloc[i] if i >= 0 else None for i in at] for k in keys}
-        return pd.DataFrame(out | {"score": [f[1] for f in found], "edits": [f[2] for f in found]}, columns=["value", *keys, "score", "edits"]).astype({"value": object, **dict.fromkeys(keys, object), "score": "float64", "edits": "int32"})
-
-    found = left.groupBy("eb", "vb").cogroup(right.groupBy("eb", "vb")).applyInPandas(match, shape)
-    if n_entries > 1:
-        ok = F.col("e0").isNotNull()
-        best = F.min_by(F.struct(*keys, "score", "edits"), F.when(ok, F.struct("edits", -F.col("score"), *keys)))
-        tied = F.min(F.when(ok, F.struct("edits", (-F.col("score")).alias("s")))) == F.max(F.when(ok, F.struct("edits", (-F.col("score")).alias("s"))))
-        found = found.groupBy("value").agg(best.alias("b"), F.when(F.count(F.when(ok, 1)) > 1, tied).otherwise(False).alias("tie"))
-        found = found.select("value", *(F.when(~F.col("tie"), F.col("b")[k]).alias(k) for k in keys), F.coalesce(F.col("b.score"), F.lit(0.0)).alias("score"), F.coalesce(F.col("b.edits"), F.lit(0)).alias("edits"))
-    return found.select("value", *(F.col(k).alias(c) for k, c in zip(keys, entry_cols, strict=True)), "score", "edits")
+    spelt = F.array_compact(F.concat(F.array(F.col(name_col)), F.coalesce(F.col(synonyms_col), F.array().cast("array<string>"))))
+    listed = entries.select(*(F.col(c).cast("string").alias(k) for k, c in zip(keys, entry_cols, strict=True)), F.explode(spelt).alias("name"))
+
+    def index_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(*r[:-1], f, sound(_tight(f)), is_code(r[-1])) for r in b.itertuples(index=False) for f in name_forms(r[-1])]
+            yield pd.DataFrame(rows, columns=[*keys, "name", "key", "code"])
+
+    entry_shape = ", ".join(f"{k} string" for k in keys)
+    names = listed.mapInPandas(index_names, f"{entry_shape}, name string, key string, code boolean").groupBy(*keys, "name", "key").agg(F.min("code").alias("code"))
+    names = cut_lineage(names.withColumn("entry", F.xxhash64(*keys)))
+
+    whole = F.broadcast if names.count() <= most_broadcast else lambda df: df
+    own_words = whole(names.select(F.explode(F.split("name", " ")).alias("word")).distinct().withColumn("own", F.lit(True)))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ways = [readings(x) for x in b["value"]]
+            yield pd.DataFrame({"value": b["value"], "ways": ways, "words": [[w.rstrip(".") for w in x[0].split()] if x else [] for x in ways]})
+
+    distinct = values.select(F.col(value_col).cast("string").alias("value")).where(F.trim("value") != "").distinct()
+    told = distinct.mapInPandas(read, "value string, ways array<string>, words array<string>").select("value", "ways", F.posexplode_outer("words").alias("pos", "word"))
+    mine = F.array_sort(F.collect_list(F.when(F.col("own"), F.struct("pos", "word"))))
+    wanted = told.join(own_words, "word", "left").groupBy("value").agg(F.first("ways").alias("ways"), F.transform(mine, lambda x: x["word"]).alias("known"), F.collect_set(F.when(F.col("own").isNull(), F.col("word"))).alias("others"))
+    wanted = cut_lineage(wanted)
+    parts = max(8, -(-wanted.count() // rows_per_task))
+    learnt = Fillers(fillers | learn_fillers(wanted, names))
+
+    def shape_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for value, ways, known in zip(b["value"], b["ways"], b["known"], strict=True):
+                forms = list(dict.fromkeys(x for x in [*ways, *map(learnt.without, ways)] if x))
+                rows += [(value, forms, known, k) for k in dict.fromkeys(sound(_tight(f)) for f in forms)]
+            yield pd.DataFrame(rows, columns=["value", "forms", "known", "key"])
+
+    forms = wanted.select("value", "ways", "known").repartition(parts).mapInPandas(shape_forms, "value string, forms array<string>, known array<string>, key string")
+    forms = cut_lineage(forms.withColumn("id", F.xxhash64("key")))
+    name_keys = names.groupBy("key").agg(F.collect_list(F.struct(*keys, "name", "code")).alias("names")).withColumn("id", F.xxhash64("key"))
+    total = name_keys.agg(F.count("*").alias("listed"))  # one row
+    weights = name_keys.select(F.explode(_grams(F.col("key"), n)).alias("gram")).groupBy("gram").agg(F.count("*").alias("held")).crossJoin(F.broadcast(total))
+    weights = cut_lineage(weights.select("gram", F.pow(F.log1p(F.col("listed") / F.col("held")), 2).alias("w2")))
+    name_side = cut_lineage(_vectors(name_keys, whole(weights), n, threshold, 8).join(whole(name_keys), "id"))
+    value_side = cut_lineage(_vectors(forms.select("id", "key").distinct(), whole(weights), n, threshold, parts))
+    # who meets on a rare n-gram, and whose cosine what they met on still allows to reach the threshold
+    met_on = F.explode(F.slice("grams", F.lit(1), F.col("kept"))).alias("g")
+    index = name_side.select(F.col("id").alias("name_id"), F.col("total").alias("name_total"), F.col("rest").alias("name_rest"), met_on).select("name_id", "name_total", "name_rest", F.col("g.gram").alias("gram"))
+    met = value_side.repartition(parts, "id").select("id", "total", "rest", met_on).select("id", "total", "rest", "g.gram", "g.w2").join(whole(index), "gram")
+    bar = threshold * F.sqrt(F.col("total") * F.col("name_total")) - F.greatest("rest", "name_rest")
+    met = met.groupBy("id", "name_id").agg(F.sum("w2").alias("met"), F.max(bar).alias("bar")).where(F.col("met") >= F.col("bar") - 1e-9)
+    # the cosine of all n-grams: a value's n-gram is the name's if the name's padded key holds it
+    padded = F.concat(F.lit("^"), F.col("name_key"), F.lit("$"))
+    dot = F.aggregate(F.filter("grams", lambda x: F.contains(padded, x["gram"])), F.lit(0.0), lambda a, x: a + x["w2"])
+    listed_names = name_side.select(F.col("id").alias("name_id"), F.col("key").alias("name_key"), F.col("total").alias("name_total"), "names")
+    scored = met.join(value_side.repartition(parts, "id").select("id", "grams", "total"), "id").join(whole(listed_names), "name_id")
+    scored = scored.select("id", "names", (dot / F.sqrt(F.col("total") * F.col("name_total"))).alias("cosine")).where(F.col("cosine") >= threshold)
+    # a row holds the names that are near to one spelling
+    offered = scored.groupBy("id").agg(F.collect_list(F.struct("cosine", "names")).alias("near")).join(forms.drop("key"), "id")
+    offered = offered.repartition(parts, "value").sortWithinPartitions("value")
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for b in batches for r in zip(b["value"], b["forms"], b["known"], b["near"], strict=True))
+        out = []
+        for value, readings_ in groupby(rows, key=lambda r: r[0]):
+            score: dict[tuple, float] = {}
+            for _, forms, known, near in readings_:
+                for x in near:
+                    for o in x["names"]:
+                        named = (tuple(o[k] for k in keys), o["name"], o["code"])
+                        score[named] = max(score.get(named, 0.0), x["cosine"])
+            best: dict[tuple, tuple[int, float]] = {}
+            lead = None
+            for (entry, name, code), cosine in sorted(score.items(), key=lambda x: (-x[1], x[0])):
+                if lead is not None and cosine < lead - margin:
+                    break
+                e = answers(list(forms), name, code, cosine, sure, set(known), learnt)
+                if e is not None:
+                    lead = cosine if lead is None else lead
+                    best[entry] = min(best.get(entry, (e, -cosine)), (e, -cosine))
+            rank = sorted(best, key=lambda x: (best[x], x))
+            if rank and (len(rank) == 1 or best[rank[0]][0] < best[rank[1]][0]):
+                out.append((value, *rank[0], -best[rank[0]][1], best[rank[0]][0]))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=["value", *keys, "score", "edits"])
+                out = []
+        yield pd.DataFrame(out, columns=["value", *keys, "score", "edits"])
+
+    found = offered.select("value", "forms", "known", "near").mapInPandas(decide, f"value string, {entry_shape}, score double, edits int")
+    mapped = wanted.select("value").join(found, "value", "left")
+    return mapped.select("value", *(F.col(k).alias(c) for k, c in zip(keys, entry_cols, strict=True)), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("edits", F.lit(0)).alias("edits"))
 
 
 def map_mentions(mentions: DataFrame, id_col: str, value_col: str, mapped: DataFrame, entry_cols: list[str], salts: int = 8) -> DataFrame:

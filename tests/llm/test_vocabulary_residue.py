@@ -20,7 +20,7 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("limits", [{}, {"block_entries": 2, "block_values": 3}])
+@pytest.mark.parametrize("limits", [{}, {"rows_per_task": 1}, {"most_broadcast": 0}])
 def test_values(spark, limits):
     got = _map(spark, [*CASES, None, "", "  "], **limits)
     assert got == CASES
