@@ -19,8 +19,9 @@ are read whole. Extra columns are not read. Equal texts under different ids are
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -87,16 +88,47 @@ def _word_hash(word: str) -> int:
     return h
 
 
-def run_hashes(text: str, words: int) -> np.ndarray:
-    """The distinct hashes of a text's runs of words, ascending."""
-    h = np.fromiter(map(_word_hash, WORD.findall(text.lower())), dtype=np.uint64)
+def run_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    """For each text the distinct hashes of its runs of words, ascending; all texts are hashed as one array."""
+    parts = [WORD.findall(t.lower()) for t in texts]
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    codes, seen = pd.factorize(np.array(list(chain.from_iterable(parts)), dtype=object))
+    h = np.fromiter(map(_word_hash, seen), dtype=np.uint64, count=len(seen))[codes]
     n = len(h) - words + 1
     if n < 1:
-        return np.empty(0, dtype=np.uint64)
+        return [np.empty(0, dtype=np.uint64) for _ in texts]
     run = np.zeros(n, dtype=np.uint64)
     for i in range(words):
-        run = _mix(run * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(run)
+        # places count: every word of a run has a multiplier of its own
+        run = run * np.uint64(0x9E3779B97F4A7C15) + _mix(h[i : i + n])
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    # a run lies in one text
+    inside = doc[:n] == doc[words - 1 :]
+    run, doc = _mix(run[inside]), doc[:n][inside]
+    order = np.lexsort((run, doc))
+    run, doc = run[order], doc[order]
+    first = np.ones(len(run), dtype=bool)
+    first[1:] = (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])
+    run, doc = run[first], doc[first]
+    return np.split(run, np.searchsorted(doc, np.arange(1, len(texts))))
+
+
+def run_hashes(text: str, words: int) -> np.ndarray:
+    """The distinct hashes of a text's runs of words, ascending."""
+    return run_sets([text], words)[0]
+
+
+def _slices(texts: list[str], characters: int = 2_000_000) -> Iterator[list[str]]:
+    """The texts in turn, so many at a time that their words fit in memory."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > characters:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
 
 
 class Signer:
@@ -105,23 +137,25 @@ class Signer:
     def __init__(self, bands: int, rows: int, seed: int = 17):
         rng = np.random.default_rng(seed)
         self.bands, self.rows, n = bands, rows, bands * rows
-        self.a = rng.integers(1, 1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 1 << 63, size=n, dtype=np.uint64)
-
-    def sign(self, runs: np.ndarray) -> tuple[np.ndarray, int]:
-        """The band hashes and the fingerprint of a set of runs."""
-        low = np.empty(len(self.a), dtype=np.uint32)
-        with np.errstate(over="ignore"):
-            for lo in range(0, len(self.a), 32):
-                block = (runs[None, :] * self.a[lo : lo + 32, None] + self.b[lo : lo + 32, None]) >> np.uint64(32)
-                low[lo : lo + 32] = block.astype(np.uint32).min(axis=1)
-            key = np.zeros(self.bands, dtype=np.uint64)
-            part = low.reshape(self.bands, self.rows)
-            for i in range(self.rows):
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + part[:, i].astype(np.uint64) + np.uint64(1))
-            key = _mix(key + np.arange(self.bands, dtype=np.uint64))
-            bits = _mix(low.astype(np.uint64) + np.arange(len(low), dtype=np.uint64)) & np.uint64(1)
-        return key.view(np.int64), int.from_bytes(np.packbits(bits.astype(np.uint8)).tobytes(), "big")
+        self.a = rng.integers(0, 1 << 32, size=n, dtype=np.uint32) | np.uint32(1)
+        self.b = rng.integers(0, 1 << 32, size=n, dtype=np.uint32)
+
+    def sign(self, sets: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+        """The band hashes, a row for each set of runs, and the fingerprints."""
+        low = np.full((len(sets), len(self.a)), np.uint32(0xFFFFFFFF), dtype=np.uint32)
+        for row, runs in zip(low, sets, strict=True):
+            # runs are scrambled already: half of their bits are a hash of 32 bits, of which a multiplier makes another
+            x = (runs >> np.uint64(32)).astype(np.uint32)
+            for lo in range(0, len(x), 4_096):
+                np.minimum(row, (x[None, lo : lo + 4_096] * self.a[:, None] + self.b[:, None]).min(axis=1), out=row)
+        part = low.reshape(len(sets), self.bands, self.rows).astype(np.uint64)
+        key = np.zeros((len(sets), self.bands), dtype=np.uint64)
+        for i in range(self.rows):
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + part[:, :, i] + np.uint64(1))
+        key = _mix(key + np.arange(self.bands, dtype=np.uint64))
+        bits = _mix(low.astype(np.uint64) + np.arange(low.shape[1], dtype=np.uint64)) & np.uint64(1)
+        prints = [int.from_bytes(x.tobytes(), "big") for x in np.packbits(bits.astype(np.uint8), axis=1)]
+        return key.view(np.int64), prints
 
 
 def radius_for(bits: int, share: float, sigmas: float = 4.0) -> int:
@@ -141,16 +175,19 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, bands: int
     def sign(batches):
         seen: set[int] = set()
         for b in batches:
-            out = []
-            for i, t in zip(b["id"], b["text"], strict=True):
-                runs = run_hashes(t, words)
-                if not len(runs):
-                    continue
-                cls = int(np.frombuffer(blake2b(runs.tobytes(), digest_size=8).digest(), dtype=np.int64)[0])
-                keys, print_ = signer.sign(runs)
-                out.append((i, cls, print_.to_bytes(-(-bands * rows // 8), "big"), [] if cls in seen else keys))
-                if len(seen) < 1_000_000:
-                    seen.add(cls)
+            out, at = [], 0
+            for part in _slices(b["text"].tolist()):
+                sets = run_sets(part, words)
+                own = b["id"].iloc[at : at + len(part)]
+                at += len(part)
+                keys, prints = signer.sign(sets)
+                for i, runs, key, print_ in zip(own, sets, keys, prints, strict=True):
+                    if not len(runs):
+                        continue
+                    cls = int.from_bytes(blake2b(runs.tobytes(), digest_size=8).digest(), "little", signed=True)
+                    out.append((i, cls, print_.to_bytes(-(-bands * rows // 8), "big"), [] if cls in seen else key))
+                    if len(seen) < 1_000_000:
+                        seen.add(cls)
             yield pd.DataFrame(out, columns=["id", "class", "print", "keys"])
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
@@ -202,8 +239,8 @@ def exact_shares(pairs: DataFrame, texts: DataFrame, words: int, share: float) -
     def measure(batches):
         for b in batches:
             out = []
-            for x, y in zip(b["text_a"], b["text_b"], strict=True):
-                p, q = run_hashes(x, words), run_hashes(y, words)
+            sets = [chain.from_iterable(run_sets(part, words) for part in _slices(b[c].tolist())) for c in ("text_a", "text_b")]
+            for p, q in zip(*sets, strict=True):
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 out.append(both / (len(p) + len(q) - both))
             yield b[["id_a", "id_b"]].assign(share=out)
@@ -232,6 +269,17 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, share: float, words
     return signed.select("id", "class").distinct(), links
 
 
+def duplicate_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``(id, class_id, copies, links)``: one row per id, its class of equal run sets named by the smallest id, the class's size, and the other classes linked to it.
+
+    This and ``links`` say all that ``duplicate_pairs`` writes out, without a row for every pair of copies.
+    """
+    sizes = members.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+    ends = links.select("class_a").union(links.select("class_b")).groupBy(F.col("class_a").alias("class")).agg(F.count("*").alias("links"))
+    named = sizes.join(ends, "class", "left").na.fill(0, ["links"])
+    return members.join(named, "class").select("id", "class_id", "copies", "links")
+
+
 def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """``(id_a, id_b)``, smaller first: the links with classes written out as their members, and the pairs inside classes."""
     a, b = (members.select(F.col("id").alias(f"id_{x}"), F.col("class").alias(f"class_{x}")) for x in "ab")

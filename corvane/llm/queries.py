@@ -34,6 +34,11 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.duplicate_groups(*_similar_chunks(spark, sf_dir)).withColumnRenamed("id", "chunk_id")
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(chunk_id, class_id, copies, links)`` of every chunk that takes part: its class of equal run sets and the other classes linked to it."""
+    return duplicates.duplicate_classes(*_similar_chunks(spark, sf_dir)).withColumnRenamed("id", "chunk_id")
+
+
 def p1_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(group_id, nct_id, chunks)``: the studies that each group of at least two chunks spans, in one spelling."""
     groups = cut_lineage(p1_groups(spark, sf_dir))
@@ -153,7 +158,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_groups, p1_studies, p2_found, p2_pieces, p3_found, p3_neighbors, p4_found, p5_found, p5_paragraphs, p6_found, p6_packed, p6_usage, p7_found, p7_mixture, p7_shares, p8_found, p8_marked)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_groups, p1_studies, p2_found, p2_pieces, p3_found, p3_neighbors, p4_found, p5_found, p5_paragraphs, p6_found, p6_packed, p6_usage, p7_found, p7_mixture, p7_shares, p8_found, p8_marked)}
 
 
 _TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{b}\x{1c}-\x{1f}]+'))"

@@ -69,3 +69,20 @@ def test_tree_finds_what_lies_within_the_radius():
     for q in prints[:20]:
         for r in (0, 5, 10):
             assert sorted(tree.within(q, r)) == [i for i, p in enumerate(prints) if (p ^ q).bit_count() <= r]
+
+
+def test_a_text_copied_many_times_is_one_class(spark):
+    same = "the quick brown fox jumps over the lazy dog near the old stone bridge at dawn"
+    rows = [(i, same) for i in range(3_000)] + [(10_000, same + " today"), (10_001, "no"), (10_002, None)]
+    members, links = D.similar_texts(spark.createDataFrame(rows, "id long, text string"), "id", "text", 0.6, words=3)
+    got = {r.id: (r.class_id, r.copies, r.links) for r in D.duplicate_classes(members, links).collect()}
+    assert len(got) == 3_001 and got[2_999] == (0, 3_000, 1) and got[10_000] == (10_000, 1, 1)
+
+
+def test_texts_hashed_together_are_hashed_as_alone():
+    texts = ["", "a", "a b c", "a b c a b c", "c b a", "x " * 5_000, "Ä-Ä_ä 1 2 3"]
+    for words in (1, 3, 5):
+        together = D.run_sets(texts, words)
+        assert [x.tolist() for x in together] == [D.run_hashes(t, words).tolist() for t in texts]
+    assert len(D.run_hashes("a b c a b c", 3)) == 3 and len(D.run_hashes("x " * 5_000, 3)) == 1
+    assert D.run_hashes("a b c", 3).tolist() != D.run_hashes("c b a", 3).tolist()
