@@ -46,20 +46,56 @@ TEXTS = {
 }
 
 
+REPORTS = [
+    "The safety board reviewed the results of the study at week 4 and found that the treatment was given to all of the patients.",
+    "Doses were drawn from a set of three strengths and the diary was kept by the patients at each site of the study.",
+    "A server error at one site delayed the upload of the diary, so the handsets were given to the patients at the start of the study.",
+    "The application for the diary needs scripts on the handsets and the site logged each code that was shown to the patients.",
+]
+PAGES = [
+    "Access denied", "404\nThe record you asked for does not exist", "404 - the page was not found\nSign in again to continue.", "Internal server error\nat handler line 12, module y\nSign in again to continue.", "Zugriff verweigert\nVorgangsnummer 7", "Zugriff verweigert\nVorgangsnummer 9", "Service unavailable\nReturn to the previous page.",
+    "Please enable JavaScript to view this page.", "Checking your browser before opening this page.", "Veuillez activer JavaScript dans votre navigateur.", "Accept cookies to continue\nSign in again to continue.",
+    "Lorem ipsum dolor sit amet", "Sample text. Text to follow.", "Replace this text with your own.",
+]
+
+
+@pytest.fixture(scope="module")
+def model():
+    long = [" ".join(REPORTS[(i + j) % 4] for j in range(4)) for i in range(40)]
+    return R.learn_evidence([*PAGES * 3, *long])
+
+
 @pytest.mark.parametrize(("kind", "text"), [(k, t) for k, ts in TEXTS.items() for t in ts])
-def test_evidence(kind, text):
-    assert R.evidence(text)[0] == kind
+def test_evidence(kind, text, model):
+    assert R.evidence(text, model=model)[0] == kind
+
+
+def test_words_of_error_pages_become_evidence_by_themselves(model):
+    alone = "at handler line 31, module q\nSign in again to continue."
+    assert R.evidence(alone, model=model)[0] == "error" and R.evidence(alone)[0] is None
+    assert R.evidence(" ".join(REPORTS), model=model)[0] is None
+    # without real text there is nothing to learn from
+    assert R.learn_evidence(PAGES).weights == {} and R.learn_evidence([]).weights == {}
 
 
 def test_marking_with_and_without_broadcast(spark):
     rows = [(i, "h1", f"Menu | Home {i}\n" + t, 1) for i, t in enumerate([REAL, "Access denied", "{{x}}", REAL])] + [(9, None, None, 1), (10, None, "", 1), (11, "h2", "y " * 200_000, 1)]
     df = spark.createDataFrame(rows, "id long, host string, text string, kind int")
-    few = {r.id: r.kind for r in R.mark_residue(df, "id", "host", "text", recurrent=3).collect()}
-    joined = {r.id: r.kind for r in R.mark_residue(df, "id", "host", "text", recurrent=3, most_broadcast=0).collect()}
+    few = {r.id: r.kind for r in R.mark_residue(df, "id", "host", "text").collect()}
+    joined = {r.id: r.kind for r in R.mark_residue(df, "id", "host", "text", most_broadcast=0).collect()}
     assert few == joined == {0: None, 1: "error", 2: "slot", 3: None, 9: None, 10: None, 11: "filler"}
     assert R.mark_residue(df.limit(0), "id", "host", "text").count() == 0
 
 
+def test_only_the_residual_is_judged(spark):
+    # a line that a share of a host's records carry is boilerplate, whatever it says; the same line alone is a record of nothing else
+    note = "Enable cookies for the best view"
+    rows = [(i, "h", f"{note}\n{REPORTS[i % 2]} {REPORTS[1 - i % 2]}") for i in range(50)] + [(50, "h", note), (51, "other", note + "\n" + REPORTS[0])]
+    got = {r.id: r for r in R.mark_residue(spark.createDataFrame(rows, "id long, host string, text string"), "id", "host", "text").collect()}
+    assert {r.kind for i, r in got.items() if i < 50} == {None} and got[50].kind == "script"
+    assert {r.evidence_words for i, r in got.items() if i < 50} == {0} and got[51].evidence_words == 6
+
+
 LONG = "The page could not be found on this server because the address that was typed or followed from another site no longer leads to a record of the archive and the link that led here is out of date"
 
 
@@ -68,8 +104,8 @@ def test_long_sentences_and_parts_of_words_are_evidence(text):
     assert R.evidence(text)[0] == "error"
 
 
-def test_cues_change_nothing(monkeypatch):
-    texts = [t for ts in TEXTS.values() for t in ts if t] + [LONG, REAL + "\n" + LONG, "PLEAſE TRY AGAİN LATER", "Webseite ist nicht verfügbar", "Home | Menu\n" + REAL, "Ref 12ab\nLoading\nBack to top"]
-    gated = [R.evidence(t) for t in texts]
-    monkeypatch.setattr(R, "_CUES", dict.fromkeys(R._CUES, frozenset([""])))
-    assert gated == [R.evidence(t) for t in texts]
+def test_texts_weighed_together_are_weighed_as_alone(model):
+    texts = [t or "" for ts in TEXTS.values() for t in ts] + [LONG, REAL * 40, "\n\n", "..... !", "test. test. test. test. test."]
+    together = [(r.kind, r.evidence_words, r.real_words) for r in R.weigh(texts, model).itertuples()]
+    assert together == [R.evidence(t, model=model) for t in texts]
+    assert R.weigh([], model).empty
