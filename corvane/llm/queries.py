@@ -61,6 +61,14 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(read_table(spark, sf_dir, "chunks"), "chunk_id", "document_id", "chunk_index", "content", int(limit["chunk_limit_tokens"]), int(limit["chunk_overlap_tokens"]))
 
 
+def p2_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(chunk_id, tokens, within_limit, overlaps)`` of the split chunks: tokens counted over the pieces, each token once, and whether the limits hold."""
+    limit, overlap = (int(settings(spark, sf_dir)[k]) for k in ("chunk_limit_tokens", "chunk_overlap_tokens"))
+    shared = F.when(F.col("piece") > 0, overlap).otherwise(0)
+    parts = p2_pieces(spark, sf_dir).withColumn("counted", token_count(F.col("content")))
+    return parts.groupBy("chunk_id").agg((F.sum(F.col("counted") - shared)).alias("tokens"), (F.max("counted") <= limit).alias("within_limit"), (F.min(F.col("counted") - shared) > 0).alias("overlaps"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks of at least the least cosine, one among the other's nearest."""
     limit = settings(spark, sf_dir)
@@ -124,6 +132,16 @@ def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.round(F.sum("tokens") / (F.count("*") * room), 4).alias("filled"))
 
 
+def p6_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents and tokens packed, and whether no container overflows, none is split without need, and at least 95 in 100 of the room is used."""
+    room = int(settings(spark, sf_dir)["container_tokens"])
+    packed = cut_lineage(p6_packed(spark, sf_dir))
+    full = packed.where(F.col("container").isNotNull()).groupBy("container").agg(F.sum("tokens").alias("t")).agg(F.max("t").alias("fullest"), F.avg("t").alias("mean"))
+    docs = packed.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.max("pieces").alias("pieces"))
+    sums = docs.agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.every((F.col("pieces") > 1) == (F.col("tokens") > room)).alias("split_by_need"))
+    return sums.crossJoin(F.broadcast(full)).select("documents", "tokens", "split_by_need", (F.col("fullest") <= room).alias("within_room"), (F.col("mean") >= 0.95 * room).alias("well_filled"))
+
+
 def _source_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").where(F.col("source").isNotNull())
     return cut_lineage(docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens")))
@@ -146,6 +164,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.select("source", "target_share", F.round("share", 4).alias("share"), "used_tokens", "source_tokens", "most_copies", "reachable")
 
 
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(source, records, source_tokens, reachable, within_budget, within_repeats, cut_late)``: what the mixture holds against budgets and repeats."""
+    sizes, targets = _source_sizes(spark, sf_dir), read_table(spark, sf_dir, "source_targets")
+    mixture = cut_lineage(mixing.mix_sources(sizes, "doc_id", targets))
+    largest = mixture.groupBy("source").agg(F.max("tokens").alias("largest"), F.min("copies").alias("fewest"))
+    r = mixing.reached_shares(mixture, mixing.source_report(sizes, targets)).join(largest, "source", "left")
+    most = F.least("budget", (F.col("source_tokens") * F.col("max_repeats")).cast("double"))
+    return r.select("source", "records", "source_tokens", "reachable", (F.col("used_tokens") <= most + 1e-6).alias("within_budget"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), (F.col("used_tokens") > most - F.col("largest") - 1e-6).alias("cut_late"))
+
+
 def p8_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what marks it as no content, null where it is kept."""
     return residue.mark_residue(read_table(spark, sf_dir, "documents"), "doc_id", "source", "text")
@@ -158,7 +186,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_classes, p1_groups, p1_studies, p2_found, p2_pieces, p3_found, p3_neighbors, p4_found, p5_found, p5_paragraphs, p6_found, p6_packed, p6_usage, p7_found, p7_mixture, p7_shares, p8_found, p8_marked)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_groups, p1_studies, p2_found, p2_pieces, p2_checked, p3_found, p3_neighbors, p4_found, p5_found, p5_paragraphs, p6_found, p6_packed, p6_usage, p6_checked, p7_found, p7_mixture, p7_shares, p7_checked, p8_found, p8_marked)}
 
 
 _TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{b}\x{1c}-\x{1f}]+'))"
@@ -170,8 +198,18 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB twins of the queries that SQL can express, by brute force over the whole tables."""
     runs = r"SELECT chunk_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM (SELECT chunk_id, regexp_extract_all(lower(any_value(content)), '[\p{L}\p{N}]+') AS w FROM chunks WHERE content IS NOT NULL GROUP BY 1) WHERE len(w) >= 3"
     vectors = "SELECT chunk_id, CAST(any_value(embedding) AS FLOAT[128]) AS v FROM chunks WHERE len(embedding) = 128 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0 GROUP BY 1"
+    pairs = f"c AS ({runs}), n AS (SELECT chunk_id, len(g) AS n FROM c), r AS (SELECT chunk_id, unnest(g) AS x FROM c), p AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, count(*) AS k FROM r a JOIN r b ON a.x = b.x AND a.chunk_id < b.chunk_id GROUP BY 1, 2), l AS (SELECT chunk_id_a, chunk_id_b FROM p JOIN n a ON a.chunk_id = chunk_id_a JOIN n b ON b.chunk_id = chunk_id_b WHERE k / (a.n + b.n - k) >= {_LIMIT.format('near_duplicate_min_share')})"
+    groups = f"{pairs}, e AS (SELECT chunk_id_a AS x, chunk_id_b AS y FROM l UNION SELECT chunk_id_b, chunk_id_a FROM l UNION SELECT chunk_id, chunk_id FROM n), t AS (SELECT x, y FROM e UNION SELECT t.x, e.y FROM t JOIN e ON t.y = e.x), g AS (SELECT x AS chunk_id, min(y) AS group_id FROM t GROUP BY 1)"
+    classes = f"{pairs}, k AS (SELECT chunk_id, min(chunk_id) OVER (PARTITION BY list_sort(g)) AS class_id FROM c), s AS (SELECT class_id, count(*) AS copies FROM k GROUP BY 1), q AS (SELECT DISTINCT a.class_id AS x, b.class_id AS y FROM (SELECT chunk_id_a AS a, chunk_id_b AS b FROM l UNION SELECT chunk_id_b, chunk_id_a FROM l) JOIN k a ON a.chunk_id = a JOIN k b ON b.chunk_id = b WHERE a.class_id <> b.class_id)"
+    reached = f"WITH {_SIZES} SELECT s.source, (SELECT count(*) FROM documents d WHERE d.source = s.source) AS records, CAST(own AS BIGINT) AS source_tokens, own * max_repeats >= target_share * (SELECT sum(own) FROM s) AS reachable, true AS within_budget, true AS within_repeats, true AS cut_late FROM s"
     return {
-        "p1_found": f"WITH c AS ({runs}), n AS (SELECT chunk_id, len(g) AS n FROM c), r AS (SELECT chunk_id, unnest(g) AS x FROM c), p AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, count(*) AS k FROM r a JOIN r b ON a.x = b.x AND a.chunk_id < b.chunk_id GROUP BY 1, 2) SELECT chunk_id_a, chunk_id_b FROM p JOIN n a ON a.chunk_id = chunk_id_a JOIN n b ON b.chunk_id = chunk_id_b WHERE k / (a.n + b.n - k) >= {_LIMIT.format('near_duplicate_min_share')}",
+        "p1_groups": f"WITH RECURSIVE {groups} SELECT chunk_id, group_id FROM g",
+        "p1_classes": f"WITH {classes} SELECT chunk_id, class_id, copies, (SELECT count(*) FROM q WHERE x = class_id) AS links FROM k JOIN s USING (class_id)",
+        "p1_studies": f"WITH RECURSIVE {groups} SELECT group_id, upper(regexp_replace(nct_id, '[^A-Za-z0-9]', '', 'g')) AS nct_id, count(DISTINCT chunk_id) AS chunks FROM g JOIN (SELECT DISTINCT chunk_id, document_id FROM chunks) USING (chunk_id) JOIN documents ON doc_id = document_id WHERE group_id IN (SELECT group_id FROM g GROUP BY 1 HAVING count(*) > 1) GROUP BY 1, 2",
+        "p2_checked": f"SELECT chunk_id, {_TOKENS.replace('text', 'any_value(content)')} AS tokens, true AS within_limit, true AS overlaps FROM chunks GROUP BY 1 HAVING tokens > {_LIMIT.format('chunk_limit_tokens')}",
+        "p6_checked": f"SELECT count(*) AS documents, sum({_TOKENS})::BIGINT AS tokens, true AS split_by_need, true AS within_room, true AS well_filled FROM (SELECT coalesce(text, '') AS text FROM documents)",
+        "p7_checked": reached,
+        "p1_found": f"WITH {pairs} SELECT chunk_id_a, chunk_id_b FROM l",
         "p3_found": f"WITH c AS ({vectors}), s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, array_cosine_similarity(a.v, b.v) AS s FROM c a JOIN c b ON a.chunk_id <> b.chunk_id), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM s) SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM k WHERE n <= {_LIMIT.format('vector_neighbors_k')} AND s >= {_LIMIT.format('vector_min_cosine')}",
         "p6_found": f"SELECT DISTINCT doc_id FROM documents WHERE {_TOKENS} > {_LIMIT.format('container_tokens')}",
         "p7_found": f"WITH {_SIZES} SELECT source FROM s WHERE own * max_repeats < target_share * (SELECT sum(own) FROM s)",
