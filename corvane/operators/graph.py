@@ -57,7 +57,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, mo
 
     Alternating stars: every vertex links its larger neighbours, then its smaller ones, to the least of them, until
     nothing changes. Rounds grow with the logarithm of the longest path, each is written to the checkpoint folder, and
-    only a count and a checksum come back to the driver. Loops don't link; vertices without edges are their own component.
+    only a count and a checksum come back to the driver. If links still change after ``most_rounds``, that is an error. Loops don't link; vertices without edges are their own component.
     """
     src, dst = edges.columns[0], edges.columns[1]
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
@@ -67,7 +67,9 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, mo
     all_ids = all_ids.where("id is not null").distinct()
     links = cut_lineage(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(most_rounds):
+    for done in range(most_rounds + 1):
+        if done == most_rounds:
+            raise RuntimeError(f"components still change after {most_rounds} rounds; raise most_rounds")
         both = links.union(links.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -254,6 +256,22 @@ def communities(edges: DataFrame, max_size: int = 10, seed: int = 0xDEADBEEF, mo
     return top.unionByName(whole)
 
 
+def community_tables(members: DataFrame, edges: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """G9, M13, K11 as rows: ``(cluster_key, level, title, n_nodes, n_edges, n_chunks, occurrence)`` and ``(cluster_key, level, id)``.
+
+    The same as ``community_schema`` without gathering a community in a row: however large one is, it is only counted.
+    """
+    v = vertices.select(F.col(vertices.columns[0]).alias("id"), "chunk_id")
+    rows = members.select(F.col("cluster").alias("cluster_key"), "level", "id")
+    nodes = rows.join(v, "id", "left").groupBy("cluster_key", "level").agg(F.countDistinct("id").alias("n_nodes"), F.countDistinct(F.coalesce("chunk_id", F.col("id").cast("string"))).alias("n_chunks"))
+    a, b = F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
+    touching = rows.join(edges.select(F.col("src").alias("id"), a, b).union(edges.select("dst", a, b)), "id").select("cluster_key", "level", "a", "b").distinct().groupBy("cluster_key", "level").agg(F.count("*").alias("n_edges"))
+    out = nodes.join(touching, ["cluster_key", "level"], "left").na.fill(0, ["n_edges"])
+    largest = out.agg(F.max("n_chunks").alias("_m"))  # one row
+    title = F.concat(F.lit("Clinical Community "), "cluster_key").alias("title")
+    return out.crossJoin(F.broadcast(largest)).select("cluster_key", "level", title, "n_nodes", "n_edges", "n_chunks", (F.col("n_chunks") / F.col("_m")).alias("occurrence")), rows
+
+
 def community_schema(members: DataFrame, edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """``(cluster_key, level, title, nodes, edges, chunk_ids, occurrence)`` of communities ``(id, level, cluster)``.
 

@@ -6,15 +6,27 @@ and its kin are plain functions of DataFrames, so they can be tested and planned
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.session import cut_lineage
+
 
 def merge_rows(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those of the same key; the last of repeated new keys wins."""
-    w = Window.partitionBy(*keys).orderBy(*(order or [F.lit(0)]))
-    last = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n") if order else new.dropDuplicates(keys)
-    return old.join(last.select(*keys), keys, "left_anti").unionByName(last, allowMissingColumns=True)
+    """``old`` with the rows of ``new`` in place of those of the same key.
+
+    Of repeated new keys the first by ``order`` wins, so the last one by a time or number is asked for with its descending
+    order. Ties, and keys repeated without an order, go by the content of the whole row: the same rows win whenever a batch is
+    run again. A null key is a key like any other.
+    """
+    whole = F.to_json(F.struct(*new.columns))
+    w = Window.partitionBy(*keys).orderBy(*(order or []), whole.desc())
+    last = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    gone = last.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    same = reduce(lambda x, y: x & y, [old[k].eqNullSafe(gone[f"_k{i}"]) for i, k in enumerate(keys)])
+    return old.join(gone, same, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,31 +45,78 @@ def of_dimension(df: DataFrame, column: str, dim: int) -> DataFrame:
     return df.where(F.size(column) == dim)
 
 
+class _Files:
+    """Renames and deletes in the file system of a path. A rename that isn't done is an error."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self.fs.exists(self.path(path))
+
+    def move(self, source: str, target: str) -> None:
+        if not self.fs.rename(self.path(source), self.path(target)):
+            raise OSError(f"{source} could not be renamed to {target}")
+
+    def delete(self, path: str) -> None:
+        self.fs.delete(self.path(path), True)
+
+
 def replace_folder(spark: SparkSession, df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Write ``df`` beside ``path`` and put it in its place, so that ``df`` may read ``path`` itself.
 
-    The old folder is kept under another name until the new one is there.
+    The old folder is kept under another name until the new one is there; if it can't be put there, the old one is put back
+    and the error raised. A folder left aside by a run that died in between is taken for the table.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    hadoop = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = hadoop(path).getFileSystem(conf)
+    files = _Files(spark, path)
     fresh, aside = f"{path}.new", f"{path}.old"
+    _restore(files, path)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(fresh)
-    fs.delete(hadoop(aside), True)
-    if fs.exists(hadoop(path)):
-        fs.rename(hadoop(path), hadoop(aside))
-    fs.rename(hadoop(fresh), hadoop(path))
-    fs.delete(hadoop(aside), True)
+    there = files.exists(path)
+    if there:
+        files.move(path, aside)
+    try:
+        files.move(fresh, path)
+    except OSError:
+        if there:
+            files.move(aside, path)
+        raise
+    files.delete(aside)
+
+
+def _restore(files: _Files, path: str) -> None:
+    """Put back a table that a run which died between two renames has left aside."""
+    if files.exists(f"{path}.old"):
+        if files.exists(path):
+            files.delete(f"{path}.old")
+        else:
+            files.move(f"{path}.old", path)
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: list[Column] | None = None, partition_by: list[str] | None = None) -> None:
-    """Merge rows into a folder; a folder that isn't there yet is made."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-    old = spark.read.parquet(path) if there else spark.createDataFrame([], new.schema)
-    replace_folder(spark, merge_rows(old, new, keys, order), path, partition_by)
+    """Merge rows into a folder; a folder that isn't there yet is made.
+
+    With ``partition_by``, columns that are part of the key, only the partitions that new rows fall into are read and
+    written again; the others aren't touched. Without it the whole table is.
+    """
+    if not set(partition_by or []) <= set(keys):
+        raise ValueError("a row's partition must be told by its key")
+    files = _Files(spark, path)
+    _restore(files, path)
+    if not files.exists(path):
+        replace_folder(spark, merge_rows(new.limit(0), new, keys, order), path, partition_by)
+        return
+    old = spark.read.parquet(path)
+    if not partition_by:
+        replace_folder(spark, merge_rows(old, new, keys, order), path)
+        return
+    touched = new.select(*(F.col(c).alias(f"_p{i}") for i, c in enumerate(partition_by))).distinct()
+    same = reduce(lambda x, y: x & y, [old[c].eqNullSafe(touched[f"_p{i}"]) for i, c in enumerate(partition_by)])
+    # written first, for what is read here is overwritten
+    merged = cut_lineage(merge_rows(old.join(touched, same, "left_semi"), new, keys, order).select(*old.columns))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def guard_edges(edges: DataFrame, nodes: DataFrame, source: str, target: str, node: str) -> tuple[DataFrame, DataFrame]:

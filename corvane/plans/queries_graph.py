@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,18 +20,50 @@ SHARED = 3
 QUESTION = "What adverse events occurred with headache?"
 
 
+_GRAPH_SOURCES = ["entities", "meta_graphs"]
+
+
 def _overlap(t: Tables) -> tuple[DataFrame, DataFrame]:
     vertices, edges = G.overlap_graph(t.meta_graphs, t.entities, SHARED)
     return vertices, cut_lineage(edges)  # used several times: written once
 
 
+def _community_members(t: Tables) -> DataFrame:
+    """Components of the overlap graph as communities, stored: ``(id, level, cluster)``."""
+    edges = t.stored("overlap_edges", _GRAPH_SOURCES, lambda: G.overlap_graph(t.meta_graphs, t.entities, SHARED)[1])
+    return t.stored("members", _GRAPH_SOURCES, lambda: G.connected_components(edges).select("id", F.lit(0).alias("level"), F.col("component").alias("cluster")))
+
+
 def _communities(t: Tables) -> DataFrame:
-    """Components of the overlap graph as communities."""
+    """Communities with their nodes and edges in a row each."""
     vertices, edges = _overlap(t)
     members = G.connected_components(edges).select("id", F.lit(0).alias("level"), F.col("component").alias("cluster"))
     return cut_lineage(G.community_schema(members, edges, vertices))
 
 
+def _stored_communities(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """What retrieval asks of communities, stored at first use: their rows, and ``(cluster_key, meta_graph_id)`` of their nodes."""
+    members = _community_members(t)
+
+    def tables() -> tuple[DataFrame, DataFrame]:
+        edges = t.stored("overlap_edges", _GRAPH_SOURCES, lambda: G.overlap_graph(t.meta_graphs, t.entities, SHARED)[1])
+        return G.community_tables(members, edges, t.meta_graphs)
+
+    return t.stored("communities", _GRAPH_SOURCES, lambda: tables()[0]), members.select(F.col("cluster").alias("cluster_key"), F.col("id").alias("meta_graph_id"))
+
+
+def _counted_entities(t: Tables) -> DataFrame:
+    """Entities with the number of relations that touch each, stored at first use."""
+    return t.stored("counted_entities", ["entities", "relations"], lambda: R.relation_counts(t.entities, t.relations))
+
+
+def graph_store(t: Tables) -> DataFrame:
+    """``(part, n)``: what retrieval reads, built where it isn't yet, and its sizes."""
+    communities, members = _stored_communities(t)
+    parts = {"communities": communities, "members": members, "entities": _counted_entities(t), "relations": t.relations}
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n") for k, df in parts.items()])
+
+
 _OVERLAP = f"""i AS (SELECT DISTINCT meta_graph_id AS id, lower(entity_text) AS t FROM e WHERE entity_text IS NOT NULL), w AS (SELECT a.id AS src, b.id AS dst, CAST(count(*) AS DOUBLE) AS weight FROM i a JOIN i b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= {SHARED}), u AS (SELECT src AS a, dst AS b FROM w UNION SELECT dst, src FROM w)"""
 _REACH = "reach(id, root) AS (SELECT a, a FROM u UNION SELECT b, root FROM reach JOIN u ON u.a = reach.id), comp AS (SELECT id, min(root) AS component FROM reach GROUP BY 1)"
 _COMMUNITIES = """nodes AS (SELECT component AS cluster_key, list_sort(list(DISTINCT comp.id)) AS nodes, count(DISTINCT coalesce(m.chunk_id, comp.id)) AS chunks FROM comp LEFT JOIN m ON m.meta_graph_id = comp.id GROUP BY 1),
@@ -95,14 +129,15 @@ _Q = "nocturnal headache"
 
 RETRIEVAL = [
     _q("entity_scores", "M8", lambda t: t.entities.select("entity_id", r6(RT.entity_score(_Q, F.col("entity_text"), F.col("entity_type"), F.col("confidence"), F.col("normalized_source")), "score")), graph_sql(f"SELECT entity_id, round({_score_sql(_Q, 'entity_text', 'entity_type', 'confidence', 'normalized_source')}, 6) AS score FROM e")),
-    _q("entity_candidates", "R3 J4 O4 M8", lambda t: RT.entity_candidates(_Q, t.entities, t.relations, None).select("entity_id", "relation_count", r6(F.col("score"), "score")),
+    _q("entity_candidates", "R3 J4 O4 M8", lambda t: RT.entity_candidates(_Q, _counted_entities(t), t.relations, None).select("entity_id", "relation_count", r6(F.col("score"), "score")),
        graph_sql(f"SELECT entity_id, relation_count, round({_score_sql(_Q, 'entity_text', 'entity_type', 'confidence', 'normalized_source')}, 6) AS score FROM k ORDER BY relation_count DESC, CASE WHEN entity_type IN ('drug', 'medication', 'adverse_event', 'disease') THEN 1 WHEN entity_type IN ('procedure', 'measurement') THEN 2 ELSE 3 END, confidence DESC NULLS LAST, entity_id LIMIT 200",
                  "k AS (SELECT e.*, (SELECT count(*) FROM r WHERE r.subject_entity_id = e.entity_id OR r.object_entity_id = e.entity_id) AS relation_count FROM e WHERE contains(lower(coalesce(entity_text, '')), 'nocturnal') OR contains(lower(coalesce(entity_text, '')), 'headache') OR normalized_id IS NOT NULL)")),
-    _q("community_scores", "R2 M7 O5 O8", lambda t: RT.community_scores(QUESTION, _communities(t), t.entities).select("cluster_key", r6(F.col("relevance"), "relevance")), None),
-    _q("community_scores_drugs", "R2 M7 O5 O8", lambda t: RT.community_scores("headache vasculitis", _communities(t), t.entities).select("cluster_key", r6(F.col("relevance"), "relevance")),
+    _q("community_scores", "R2 M7 O5 O8", lambda t: RT.community_scores(QUESTION, *_stored_communities(t), t.entities).select("cluster_key", r6(F.col("relevance"), "relevance")), None),
+    _q("community_scores_drugs", "R2 M7 O5 O8", lambda t: RT.community_scores("headache vasculitis", *_stored_communities(t), t.entities).select("cluster_key", r6(F.col("relevance"), "relevance")),
        graph_sql("SELECT cluster_key, round(relevance, 6) AS relevance FROM (SELECT top.cluster_key, 0.7 * CASE WHEN coalesce(hits, 0) > 0 THEN points / n + hits * 0.01 ELSE 0 END AS relevance FROM top LEFT JOIN per USING (cluster_key)) WHERE relevance > 0 ORDER BY relevance DESC, cluster_key LIMIT 10", _OVERLAP, _REACH, _COMMUNITIES,
                  "top AS (SELECT * FROM communities ORDER BY occurrence DESC, cluster_key LIMIT 100)", "x AS (SELECT top.cluster_key, e.entity_id, lower(entity_text) AS t, entity_type, row_number() OVER (PARTITION BY top.cluster_key ORDER BY e.entity_id) AS k FROM (SELECT cluster_key, unnest(nodes) AS id FROM top) top JOIN e ON e.meta_graph_id = top.id WHERE contains(lower(entity_text), 'headache') OR contains(lower(entity_text), 'vasculitis'))",
                  "per AS (SELECT cluster_key, CAST(sum(CASE WHEN t IN ('headache', 'vasculitis') THEN 2.0 ELSE 1.0 END + CASE WHEN entity_type IN ('drug', 'medication', 'disease', 'condition', 'adverse_event') THEN 0.5 ELSE 0.0 END) AS DOUBLE) AS points, count(*) AS n, count(*) AS hits FROM x WHERE k <= 500 GROUP BY 1)")),
+    _q("graph_store", "K11 K12 O5", graph_store, graph_sql("SELECT 'communities' AS part, count(DISTINCT component) AS n FROM comp UNION ALL SELECT 'members', count(*) FROM comp UNION ALL SELECT 'entities', count(*) FROM e UNION ALL SELECT 'relations', count(*) FROM r", _OVERLAP, _REACH)),
     _q("hybrid_retrieval", "R1 R2 R3 R5 G1", lambda t: hybrid(t)),
     _q("community_ranking", "R5 M10 O9", lambda t: hybrid(t).where("hops = 0").select("entity_id", r6(F.col("final_score"), "final_score"))),
     _q("context_chunks", "R8 O10 J9", lambda t: RT.context_chunks(hybrid(t), t.chunks).select("chunk_id", "entities", r6(F.col("similarity"), "similarity"), "position")),
@@ -116,14 +151,13 @@ RETRIEVAL = [
 
 def hybrid(t: Tables) -> DataFrame:
     """The flagship: a question answered from communities, entities and relations."""
-    return cut_lineage(RT.retrieve(QUESTION, t.entities, t.relations, _communities(t)))
+    return cut_lineage(RT.retrieve(QUESTION, _counted_entities(t), t.relations, *_stored_communities(t)))
 
 
 def _prompt(t: Tables) -> DataFrame:
     results = hybrid(t)
-    flags = t.raw("entities").groupBy("entity_id").agg(F.max("context_flags").alias("context_flags"))
     question = t.spark.createDataFrame([(QUESTION,)], "question string")
-    return RT.answer(question, RT.prompt(QUESTION, RT.context_chunks(results, t.chunks), results, flags)).select("question", "prompt", "route.model", "route.reason")
+    return RT.answer(question, RT.prompt(QUESTION, RT.context_chunks(results, t.chunks), results, t.context_flags)).select("question", "prompt", "route.model", "route.reason")
 
 
 def _semantic(t: Tables) -> DataFrame:

@@ -50,7 +50,7 @@ FILTERS = [
        """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, contains(props, '"k": 77') AS is_77 FROM events WHERE contains(props, '"k": 7')"""),
     _q("case_buckets", "P13 A14", lambda t: t.entities.groupBy(F.when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") >= 0.5, "middle").otherwise("low").alias("bucket")).agg(F.count("*").alias("n")),
        sql("E", "SELECT CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'middle' ELSE 'low' END AS bucket, count(*) AS n FROM e GROUP BY 1")),
-    _q("exists_probe", "P14", lambda t: t.relations.where("predicate = 'treats'").agg((F.count("*") > 0).alias("found")), sql("R", "SELECT count(*) > 0 AS found FROM r WHERE predicate = 'treats'")),
+    _q("exists_probe", "P14", lambda t: t.relations.where("predicate = 'treats'").limit(1).agg((F.count("*") > 0).alias("found")), sql("R", "SELECT count(*) > 0 AS found FROM r WHERE predicate = 'treats'")),
     _q("ad_hoc_limit", "P15", lambda t: (t.raw("orders").createOrReplaceTempView("corvane_orders"), R.ad_hoc(t.spark, "SELECT o_orderkey, o_totalprice FROM corvane_orders ORDER BY o_totalprice DESC, o_orderkey;", 10))[1],
        "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
     _q("pattern_one_hop", "P16 J25 A40", lambda t: cypher.run_pattern("MATCH (a:Entity)-[r]->(b:Entity) WHERE a.entity_type = 'medication' RETURN r.predicate AS predicate, b.entity_type AS target_type, count(*) AS n", _vertices(t), _edges(t)),
@@ -215,7 +215,7 @@ SETS = [
     _q("concat_results", "U7", lambda t: R.concat_results(t.entities.where("confidence > 0.97").select(F.col("entity_id").alias("id"), "entity_text"), t.relations.where("confidence > 0.97").select(F.col("relation_id").alias("id"), "predicate")), sql("ER", "SELECT entity_id AS id, entity_text, CAST(NULL AS VARCHAR) AS predicate FROM e WHERE confidence > 0.97 UNION ALL SELECT relation_id, NULL, predicate FROM r WHERE confidence > 0.97")),
     _q("first_non_empty", "R13", lambda t: R.first_non_empty(t.chunks.where("section_title = 'no such section'").select("chunk_id"), t.chunks.where("section_title = 'methods'").select("chunk_id"), t.chunks.select("chunk_id")), sql("C", "SELECT chunk_id FROM c WHERE section_title = 'methods'")),
     _q("synthetic_edges", "V7", lambda t: _synthetic(t), "SELECT p_brand AS grp, CAST(a.p_partkey AS VARCHAR) AS source_code, CAST(b.p_partkey AS VARCHAR) AS target_code FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY lpad(CAST(p_partkey AS VARCHAR), 9, '0')) AS n FROM part) a JOIN (SELECT p_brand AS g, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY lpad(CAST(p_partkey AS VARCHAR), 9, '0')) AS n FROM part) b ON b.g = a.p_brand AND b.n IN (a.n + 1, a.n + 2) WHERE a.n <= 10"),
-    _q("predicate_names", "V8", lambda t: _predicates(t), "SELECT s AS type_id, CASE s WHEN '116680003' THEN 'is_a' WHEN '42752001' THEN 'due_to' ELSE 'related_to' END AS predicate FROM (SELECT unnest(['116680003', '42752001', '1']) AS s)"),
+    _q("predicate_names", "V8", lambda t: _predicates(t), "SELECT coalesce(list_extract(['is_a', 'has_finding_site', 'has_associated_morphology', 'has_causative_agent', 'due_to', 'has_method', 'has_procedure_site', 'has_active_ingredient'], o_custkey % 12 + 1), 'related_to') AS predicate, count(*) AS n FROM orders GROUP BY 1"),
 ]
 
 
@@ -228,13 +228,14 @@ def _synthetic(t: Tables) -> DataFrame:
 
 
 def _predicates(t: Tables) -> DataFrame:
-    from corvane.sources.vocabularies import predicate_name
+    from corvane.sources.vocabularies import SNOMED_PREDICATES, predicate_name
 
-    return t.spark.createDataFrame([("116680003",), ("42752001",), ("1",)], "type_id string").select("type_id", predicate_name(F.col("type_id")).alias("predicate"))
+    listed = F.array(*map(F.lit, SNOMED_PREDICATES), F.lit("1"))
+    return t.raw("orders").select(predicate_name(F.try_element_at(listed, (F.col("o_custkey") % 12 + 1).cast("int"))).alias("predicate")).groupBy("predicate").agg(F.count("*").alias("n"))
 
 
 SINKS = [
-    _q("upsert_keep_last", "K2 K7 K8 K9 K11 K19", lambda t: K.merge_rows(t.raw("orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_orderstatus"), t.raw("orders").where("o_orderpriority = '5-LOW'").select("o_orderkey", F.lit("X").alias("o_orderstatus")), ["o_orderkey"]), "SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority = '5-LOW'"),
+    _q("upsert_keep_last", "K2 K7 K8 K9 K11 K19", lambda t: K.merge_rows(t.raw("orders").where("o_orderstatus <> 'P'").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(0).alias("line")), t.raw("lineitem").where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("status"), F.col("l_linenumber").cast("int").alias("line")), ["o_orderkey"], [F.desc("line")]), "WITH n AS (SELECT l_orderkey AS o_orderkey, l_returnflag AS status, CAST(l_linenumber AS INTEGER) AS line FROM lineitem WHERE l_returnflag <> 'N' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_returnflag DESC) = 1) SELECT * FROM n UNION ALL SELECT o_orderkey, o_orderstatus, 0 FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT o_orderkey FROM n)"),
     _q("insert_missing", "K17 K22", lambda t: K.insert_missing(t.raw("orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_orderstatus"), t.raw("orders").select("o_orderkey", F.lit("X").alias("o_orderstatus")), ["o_orderkey"]), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders"),
     _q("update_by_key", "K15 K16", lambda t: K.update_rows(t.documents.select("doc_id", "phase"), t.documents.where("n_tokens > 300").select("doc_id", F.lit("LONG").alias("phase")), "doc_id", ["phase"]), "SELECT doc_id, CASE WHEN n_tokens > 300 THEN 'LONG' ELSE phase END AS phase FROM documents"),
     _q("edge_endpoint_guard", "K10", lambda t: K.guard_edges(t.relations, t.entities.where("entity_type <> 'measurement'"), "subject_entity_id", "object_entity_id", "entity_id")[0].select("relation_id"), sql("ER", "SELECT relation_id FROM r WHERE subject_entity_id IN (SELECT entity_id FROM e WHERE entity_type <> 'measurement') AND object_entity_id IN (SELECT entity_id FROM e WHERE entity_type <> 'measurement')")),

@@ -61,17 +61,18 @@ def entity_score(query: str, text: Column, kind: Column, confidence: Column, sou
     return F.when(text.isNull(), 0.0).otherwise(base * weight(TYPE_WEIGHTS, kind, 0.3) * sure * known)
 
 
-def community_scores(query: str, communities: DataFrame, entities: DataFrame, limits: Limits | None = None) -> DataFrame:
+def community_scores(query: str, communities: DataFrame, members: DataFrame, entities: DataFrame, limits: Limits | None = None) -> DataFrame:
     """``communities`` with ``relevance``, the best first.
 
-    ``communities`` has cluster_key, level, title, nodes, occurrence; ``entities`` entity_id, meta_graph_id, entity_text,
-    entity_type. Communities of most occurrence are looked at, and in each the first entities by id that hold a term.
+    ``communities`` has cluster_key, level, title, occurrence; ``members`` cluster_key and the meta_graph_id of its nodes;
+    ``entities`` entity_id, meta_graph_id, entity_text, entity_type. Communities of most occurrence are looked at, and in each the first entities by id that hold a term.
     """
     limits = limits or Limits()
     terms = T.search_terms(query)
     words = terms or query.lower().split()
     top = communities.orderBy(F.desc("occurrence"), "cluster_key").limit(limits.communities)
-    inside = top.select("cluster_key", F.explode("nodes").alias("meta_graph_id")).join(entities.select("meta_graph_id", "entity_id", "entity_text", "entity_type"), "meta_graph_id")
+    # at most ``limits.communities`` rows
+    inside = members.select("cluster_key", "meta_graph_id").join(F.broadcast(top.select("cluster_key")), "cluster_key").join(entities.select("meta_graph_id", "entity_id", "entity_text", "entity_type"), "meta_graph_id")
     low = F.lower("entity_text")
     long = [t for t in terms if len(t) > 2]
     inside = inside.where(T.any_contains(low, long)) if long else inside
@@ -89,16 +90,18 @@ def community_scores(query: str, communities: DataFrame, entities: DataFrame, li
     return scored.where("relevance > 0").orderBy(F.desc("relevance"), "cluster_key").limit(limits.top_communities)
 
 
-def entity_candidates(query: str, entities: DataFrame, relations: DataFrame, relevant: DataFrame | None, context: Context | None = None, limits: Limits | None = None) -> DataFrame:
+def entity_candidates(query: str, entities: DataFrame, relations: DataFrame, relevant: DataFrame | None, members: DataFrame | None = None, context: Context | None = None, limits: Limits | None = None) -> DataFrame:
     """The entities of relevant communities that hold one of the first two words or are normalised, scored.
 
     Those with most relations come first, then by type, confidence and id. Without ``relevant`` all entities are looked at.
+    Entities that come with a ``relation_count`` aren't counted again.
     """
     limits, context = limits or Limits(), context or Context()
     words = [t for t in query.lower().split() if len(t) > 2][:2] or [query.lower()]
     e = entities
     if relevant is not None:
-        own = relevant.select(F.explode("nodes").alias("meta_graph_id"), F.col("cluster_key").alias("community_id"), "relevance", "title")
+        # at most ``limits.top_communities`` rows
+        own = members.select("cluster_key", "meta_graph_id").join(F.broadcast(relevant.select("cluster_key", "relevance", "title")), "cluster_key").withColumnRenamed("cluster_key", "community_id")
         own = R.first_by(own, ["meta_graph_id"], [F.desc("relevance"), F.col("community_id")])
         e = e.join(own.withColumnRenamed("relevance", "community_relevance").withColumnRenamed("title", "community_title"), "meta_graph_id")
     else:
@@ -111,7 +114,8 @@ def entity_candidates(query: str, entities: DataFrame, relations: DataFrame, rel
     if context.least_confidence is not None:
         e = e.where(F.col("confidence") >= context.least_confidence)
     group = F.when(F.col("entity_type").isin("drug", "medication", "adverse_event", "disease"), 1).when(F.col("entity_type").isin("procedure", "measurement"), 2).otherwise(3)
-    top = R.relation_counts(e, relations).orderBy(F.desc("relation_count"), group, F.desc_nulls_last("confidence"), "entity_id").limit(limits.entities)
+    counted = e if "relation_count" in e.columns else R.relation_counts(e, relations)
+    top = counted.orderBy(F.desc("relation_count"), group, F.desc_nulls_last("confidence"), "entity_id").limit(limits.entities)
     return top.withColumn("score", entity_score(query, F.col("entity_text"), F.col("entity_type"), F.col("confidence"), F.col("normalized_source")))
 
 
@@ -135,17 +139,19 @@ def ranked(results: DataFrame) -> DataFrame:
     return results.withColumn("final_score", final).orderBy(F.desc("final_score"), "hops", "entity_id")
 
 
-def retrieve(query: str, entities: DataFrame, relations: DataFrame, communities: DataFrame | None = None, chunks: DataFrame | None = None, context: Context | None = None, limits: Limits | None = None, dim: int | None = None, vector: list[float] | None = None) -> DataFrame:
+def retrieve(query: str, entities: DataFrame, relations: DataFrame, communities: DataFrame | None = None, members: DataFrame | None = None, chunks: DataFrame | None = None, context: Context | None = None, limits: Limits | None = None, dim: int | None = None, vector: list[float] | None = None) -> DataFrame:
     """``(entity_id, entity_text, entity_type, chunk_id, …, score, final_score, hops, predicate_path)`` for a question.
 
+    ``entities`` and ``relations`` hold every id once; ``communities`` and ``members`` are what ``community_tables`` gives.
+
     Entities of relevant communities, nearest chunks where they are fewer than half of the results wanted and a vector is given,
     what relations reach from the first of them, ranked together.
     """
     limits = limits or Limits()
-    one = entities.dropDuplicates(["entity_id"])
-    relevant = cut_lineage(community_scores(query, communities, one, limits)) if communities is not None else None
+    one = entities
+    relevant = cut_lineage(community_scores(query, communities, members, one, limits)) if communities is not None else None
     cols = ["entity_id", "entity_text", "entity_type", "confidence", "normalized_id", "normalized_source", "chunk_id", "relation_count"]
-    found = entity_candidates(query, one, relations, relevant, context, limits).select(*cols, "community_id", "community_title", "community_relevance", "score")
+    found = entity_candidates(query, one, relations, relevant, members, context, limits).select(*cols, "community_id", "community_title", "community_relevance", "score")
     if vector is not None and chunks is not None:
         extra = semantic_results(vector, chunks, limits.results)
         short = found.agg((F.count("*") < limits.results // 2).alias("_short"))
@@ -169,7 +175,8 @@ def context_chunks(results: DataFrame, chunks: DataFrame, n: int = 10) -> DataFr
     per = results.where(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.count("*").alias("entities"), F.max("final_score").alias("similarity"))
     top = per.orderBy(F.desc("entities"), F.desc("similarity"), "chunk_id").limit(n)
     placed = top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("entities"), F.desc("similarity"), "chunk_id")))
-    return placed.join(chunks.dropDuplicates(["chunk_id"]).select("chunk_id", "content", "document_id"), "chunk_id").orderBy("position")
+    # at most ``n`` rows decide which texts are read on
+    return chunks.select("chunk_id", "content", "document_id").join(F.broadcast(placed), "chunk_id").dropDuplicates(["chunk_id"]).select(*placed.columns, "content", "document_id").orderBy("position")
 
 
 def flag_notes(flags: Column) -> Column:

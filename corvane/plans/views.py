@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.session import read_table
+from corvane.session import read_table, stored_once
 
 
 @dataclass(frozen=True)
@@ -22,7 +22,10 @@ class Query:
 
 
 class Tables:
-    """The tables of a data directory, rows delivered twice kept once, uneven spellings levelled."""
+    """The tables of a data directory, rows delivered twice kept once, uneven spellings levelled.
+
+    The growing ones are cleaned once an application and stored; queries read what is stored, the columns they need.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -31,27 +34,46 @@ class Tables:
         """A table as it is."""
         return read_table(self.spark, self.dir, name)
 
+    def stored(self, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+        """A table made of raw ones, built at its first use."""
+        return stored_once(self.spark, name, [f"{self.dir}/{s}.parquet" for s in sources], build)
+
     @property
     def entities(self) -> DataFrame:
         """Mentions, once each, types and vocabularies in lower case, blank ids as null."""
-        e = self.raw("entities").dropDuplicates(["entity_id"])
-        return e.select("entity_id", "meta_graph_id", "chunk_id", "source_chunk_id", "entity_text", F.lower("entity_type").alias("entity_type"), "start_char", "end_char", "confidence", F.nullif(F.trim("normalized_id"), F.lit("")).alias("normalized_id"), F.lower("normalized_source").alias("normalized_source"))
+        return self._entities().drop("context_flags")
+
+    @property
+    def context_flags(self) -> DataFrame:
+        """``(entity_id, context_flags)`` of mentions, once each."""
+        return self._entities().select("entity_id", "context_flags")
+
+    def _entities(self) -> DataFrame:
+        def clean() -> DataFrame:
+            e = self.raw("entities").dropDuplicates(["entity_id"])
+            return e.select("entity_id", "meta_graph_id", "chunk_id", "source_chunk_id", "entity_text", F.lower("entity_type").alias("entity_type"), "start_char", "end_char", "confidence", F.nullif(F.trim("normalized_id"), F.lit("")).alias("normalized_id"), F.lower("normalized_source").alias("normalized_source"), "context_flags")
+
+        return self.stored("entities", ["entities"], clean)
 
     @property
     def relations(self) -> DataFrame:
         """Relations, once each, predicates in lower case."""
-        r = self.raw("relations").dropDuplicates(["relation_id"])
-        return r.select("relation_id", "meta_graph_id", "chunk_id", "subject_entity_id", F.lower(F.trim("predicate")).alias("predicate"), "object_entity_id", "confidence", "evidence_span")
+
+        def clean() -> DataFrame:
+            r = self.raw("relations").dropDuplicates(["relation_id"])
+            return r.select("relation_id", "meta_graph_id", "chunk_id", "subject_entity_id", F.lower(F.trim("predicate")).alias("predicate"), "object_entity_id", "confidence", "evidence_span")
+
+        return self.stored("relations", ["relations"], clean)
 
     @property
     def meta_graphs(self) -> DataFrame:
         """Meta graphs, once each."""
-        return self.raw("meta_graphs").dropDuplicates(["meta_graph_id"]).drop("created_at")
+        return self.stored("meta_graphs", ["meta_graphs"], lambda: self.raw("meta_graphs").dropDuplicates(["meta_graph_id"]).drop("created_at"))
 
     @property
     def chunks(self) -> DataFrame:
         """Chunks, once each, without embeddings."""
-        return self.raw("chunks").dropDuplicates(["chunk_id"]).drop("embedding", "created_at")
+        return self.stored("chunks", ["chunks"], lambda: self.raw("chunks").drop("embedding", "created_at").dropDuplicates(["chunk_id"]))
 
     @property
     def documents(self) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,8 @@ def build_session(app: str = "corvane", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoints are deleted once nothing refers to them
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | conf
@@ -32,14 +36,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written rows.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what is written on the way: the one named in ``spark.checkpoint.dir``.
 
-    The folder is the one named in ``spark.checkpoint.dir``. Only where that is unset and the master is
-    a local one (tests, benches) is a temporary folder made; a cluster without the setting is an error,
-    for a machine-local folder would be lost with its executor.
+    Only where that is unset and the master is a local one (tests, benches) is a temporary folder made; a cluster without the
+    setting is an error, for a machine-local folder would be lost with its executor.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -47,4 +50,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="corvane-checkpoint-", dir=os.environ.get("TMPDIR"))
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the written rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_once(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name``, built at its first use in an application and read from the shared folder from then on.
+
+    It belongs to the state of the ``sources`` it is built from: files of another length or time make another table. A table
+    that isn't whole is built again.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    state = []
+    for source in sources:
+        files = hadoop(source).getFileSystem(conf)
+        about = files.getContentSummary(hadoop(source))
+        state.append(f"{source} {about.getLength()} {about.getFileCount()} {files.getFileStatus(hadoop(source)).getModificationTime()}")
+    mark = hashlib.sha256("\n".join(state).encode()).hexdigest()[:16]
+    path = f"{shared_folder(spark)}/stored/{name}-{mark}"
+    if not hadoop(path).getFileSystem(conf).exists(hadoop(f"{path}/_SUCCESS")):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -26,11 +26,14 @@ def read_arrivals(spark: SparkSession, path: str, schema, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str, order=None, available_now: bool = True) -> StreamingQuery:
-    """Merge a stream into a folder by key; a batch that is run again merges the same rows, so the result stays."""
+def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str, order=None, available_now: bool = True, partition_by: list[str] | None = None) -> StreamingQuery:
+    """Merge a stream into a folder by key; a batch that is run again merges the same rows, so the result stays.
+
+    With ``partition_by``, columns of the key, a batch rewrites only the partitions its rows fall into.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
-        sinks.upsert(batch.sparkSession, path, batch, keys, order)
+        sinks.upsert(batch.sparkSession, path, batch, keys, order, partition_by)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -103,6 +103,56 @@ def test_upserts_into_a_folder(spark, tmp_path):
     assert {tuple(r)[:2] for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "d"), (3, "e")}
 
 
+def test_repeated_keys_and_null_keys_merge_the_same_way_every_time(spark):
+    shape = "k int, v string, n int"
+    old = spark.createDataFrame([(1, "a", 1), (None, "b", 1)], shape)
+    new = spark.createDataFrame([(1, "x", 2), (1, "y", 2), (1, "z", 1), (None, "c", 1), (None, "d", 3)], shape)
+    for rows in (new, new.orderBy(F.rand(1)), new.repartition(5)):
+        assert {tuple(r) for r in K.merge_rows(old, rows, ["k"], [F.desc("n")]).collect()} == {(1, "y", 2), (None, "d", 3)}
+        assert {tuple(r) for r in K.merge_rows(old, rows, ["k"]).collect()} == {(1, "z", 1), (None, "d", 3)}
+    assert {tuple(r) for r in K.merge_rows(old, new.limit(0), ["k"]).collect()} == {(1, "a", 1), (None, "b", 1)}
+
+
+def test_upserts_touch_only_their_partitions(spark, tmp_path):
+    path, shape = str(tmp_path / "t"), "p string, k int, v string"
+    K.upsert(spark, path, spark.createDataFrame([("a", 1, "x"), ("b", 1, "x")], shape), ["p", "k"], partition_by=["p"])
+    files = lambda p: sorted(f.name for f in (tmp_path / "t" / f"p={p}").glob("*.parquet"))
+    before = files("a"), files("b")
+    K.upsert(spark, path, spark.createDataFrame([("b", 1, "y"), ("c", 2, "z")], shape), ["p", "k"], partition_by=["p"])
+    assert files("a") == before[0] and files("b") != before[1]
+    assert {tuple(r) for r in spark.read.parquet(path).select("p", "k", "v").collect()} == {("a", 1, "x"), ("b", 1, "y"), ("c", 2, "z")}
+    with pytest.raises(ValueError):
+        K.upsert(spark, path, spark.createDataFrame([], shape), ["k"], partition_by=["p"])
+
+
+def test_a_rename_that_fails_leaves_the_table(spark, tmp_path, monkeypatch):
+    path, shape = str(tmp_path / "t"), "k int"
+    K.upsert(spark, path, spark.createDataFrame([(1,)], shape), ["k"])
+    move = K._Files.move
+
+    def fails(self, source, target):
+        if source.endswith(".new"):
+            raise OSError("no")
+        move(self, source, target)
+
+    monkeypatch.setattr(K._Files, "move", fails)
+    with pytest.raises(OSError):
+        K.upsert(spark, path, spark.createDataFrame([(2,)], shape), ["k"])
+    assert [r.k for r in spark.read.parquet(path).collect()] == [1]
+    # a run that died between the renames
+    monkeypatch.setattr(K._Files, "move", move)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    K.upsert(spark, path, spark.createDataFrame([(3,)], shape), ["k"])
+    assert {r.k for r in spark.read.parquet(path).collect()} == {1, 3}
+
+
+def test_components_that_need_more_rounds_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a int, b int")
+    with pytest.raises(RuntimeError):
+        G.connected_components(chain, most_rounds=1)
+    assert {r.component for r in G.connected_components(chain).collect()} == {0}
+
+
 def test_extraction_tables_and_guard(spark):
     e = "array<struct<entity_id:string,text:string,type:string,start_char:int,end_char:int,confidence:double,normalized_id:string,normalized_source:string>>"
     r = "array<struct<subject:string,predicate:string,object:string,confidence:double,evidence:string>>"

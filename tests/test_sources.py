@@ -63,12 +63,13 @@ def test_studies(spark):
     assert A.search_query("a", ["b", "c"], ["P1"], "COMPLETED") == 'a AND (b OR c) AND ("P1") AND completed' and A.search_query(None, [], [], None) == "completed"
 
 
-def test_study_source_retries(spark):
+def test_study_source_retries(spark, tmp_path):
+    mark = str(tmp_path / "asked")
+
     def fetch(path, parameters):
         import json as J
         import os
 
-        mark = "/tmp/corvane-test-fetch"
         if path == "studies/NONE":
             raise FileNotFoundError
         if not os.path.exists(mark):
