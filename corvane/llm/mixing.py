@@ -35,8 +35,13 @@ def source_report(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return out.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.lit(0.0), use - F.col("epochs") * F.col("source_tokens")))
 
 
-def mix_sources(sizes: DataFrame, id_col: str, targets: DataFrame, seed: int = 17, ranges: int = 1_024) -> DataFrame:
-    """``(id, source, tokens, copies)``: how often each record of the listed sources is used, 0 included."""
+def mix_sources(sizes: DataFrame, id_col: str, targets: DataFrame, seed: int = 17, ranges: int | None = None) -> DataFrame:
+    """``(id, source, tokens, copies)``: how often each record of the listed sources is used, 0 included.
+
+    There are as many ``ranges`` as keep a source that holds all records at some 10,000 in each; the result doesn't depend on
+    their number.
+    """
+    ranges = ranges or max(1_024, sizes.count() // 10_000)
     report = source_report(sizes, targets).select("source", "epochs", "rest")
     keyed = sizes.select(id_col, "source", "tokens", F.xxhash64(id_col, F.lit(seed)).alias("key"))
     keyed = keyed.withColumn("range", F.floor((F.col("key").cast("double") / 2.0**64 + 0.5) * ranges).cast("int"))

@@ -75,14 +75,27 @@ def item_sizes(df: DataFrame, id_col: str, text_col: str, size: Callable[[Column
     return cut_lineage(df.select(id_col, size(F.col(text_col)).alias("tokens")))
 
 
-def pack_items(sizes: DataFrame, id_col: str, capacity: int, buckets: int = 64, rows_per_salt: int = 50_000) -> DataFrame:
+def size_classes(sizes: list[int], counts: list[int], most: int) -> tuple[list[int], list[int]]:
+    """At most ``most`` of the ascending sizes with the counts of those up to each; all of them where there are no more.
+
+    Sizes are merged into the next larger one that is kept, every so many of them, so a bound lies at most a class of sizes
+    above where it would be best. Boundaries found on the classes are found in ``most`` squared steps whatever the capacity.
+    """
+    if len(sizes) <= most:
+        return sizes, counts
+    last = np.unique(np.ceil(np.linspace(0, len(sizes), most + 1)[1:]).astype(int)) - 1
+    upto = np.cumsum(counts)[last]
+    return [sizes[i] for i in last], np.diff(upto, prepend=0).tolist()
+
+
+def pack_items(sizes: DataFrame, id_col: str, capacity: int, buckets: int = 64, rows_per_salt: int = 50_000, most_sizes: int = 2_048) -> DataFrame:
     """``(id, piece, pieces, tokens, bucket, container)`` for items ``(id, tokens)``."""
     whole = F.expr(f"cast(ceil(tokens / {capacity}) as int)")
     parts = sizes.withColumn("pieces", F.greatest(F.lit(1), whole)).withColumn("piece", F.explode(F.expr("sequence(0, pieces - 1)")))
     parts = parts.withColumn("tokens", F.least(F.lit(capacity), F.col("tokens") - F.col("piece") * capacity).cast("int"))
     histogram = {r.tokens: r.n for r in parts.where("tokens > 0").groupBy("tokens").agg(F.count("*").alias("n")).collect()}
     ordered = sorted(histogram)
-    bounds = bucket_bounds(ordered, [histogram[x] for x in ordered], buckets) if ordered else []
+    bounds = bucket_bounds(*size_classes(ordered, [histogram[x] for x in ordered], most_sizes), buckets) if ordered else []
     counts = [0] * len(bounds)
     for x in ordered:
         counts[bisect.bisect_left(bounds, x)] += histogram[x]

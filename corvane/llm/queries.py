@@ -61,6 +61,11 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(read_table(spark, sf_dir, "chunks"), "chunk_id", "document_id", "chunk_index", "content", int(limit["chunk_limit_tokens"]), int(limit["chunk_overlap_tokens"]))
 
 
+def p2_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new places of all chunks of documents in which one was split."""
+    return splitting.new_indexes(read_table(spark, sf_dir, "chunks"), p2_pieces(spark, sf_dir), "chunk_id", "document_id", "chunk_index")
+
+
 def p2_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(chunk_id, tokens, within_limit, overlaps)`` of the split chunks: tokens counted over the pieces, each token once, and whether the limits hold."""
     limit, overlap = (int(settings(spark, sf_dir)[k]) for k in ("chunk_limit_tokens", "chunk_overlap_tokens"))
@@ -186,7 +191,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_classes, p1_groups, p1_studies, p2_found, p2_pieces, p2_checked, p3_found, p3_neighbors, p4_found, p5_found, p5_paragraphs, p6_found, p6_packed, p6_usage, p6_checked, p7_found, p7_mixture, p7_shares, p7_checked, p8_found, p8_marked)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_groups, p1_studies, p2_found, p2_pieces, p2_indexes, p2_checked, p3_found, p3_neighbors, p4_found, p5_found, p5_paragraphs, p6_found, p6_packed, p6_usage, p6_checked, p7_found, p7_mixture, p7_shares, p7_checked, p8_found, p8_marked)}
 
 
 _TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{b}\x{1c}-\x{1f}]+'))"

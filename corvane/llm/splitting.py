@@ -143,7 +143,8 @@ def unit_ends(df: DataFrame, id_col: str, text_col: str, limit: int) -> DataFram
 def split_oversized(df: DataFrame, id_col: str, parent_col: str, index_col: str, text_col: str, limit: int, overlap: int) -> DataFrame:
     """``(id, parent, index, piece, pieces, start, end, tokens, content)`` of each piece of the oversized texts.
 
-    ``index`` goes on from the item's own: pieces of earlier items of the same parent push later ones back.
+    ``new_index`` goes on from the item's own: pieces of earlier items of the same parent push later ones back. The places
+    of the parent's whole items are given by ``new_indexes``.
     """
 
     def cut(batches):
@@ -161,3 +162,16 @@ def split_oversized(df: DataFrame, id_col: str, parent_col: str, index_col: str,
     before = Window.partitionBy(parent_col).orderBy(index_col, id_col, "piece").rowsBetween(Window.unboundedPreceding, -1)
     pushed = F.coalesce(F.sum(F.when(F.col("piece") > 0, 1).otherwise(0)).over(before), F.lit(0)) + F.when(F.col("piece") > 0, 1).otherwise(0)
     return cuts.withColumn("new_index", (F.col(index_col) + pushed).cast("int"))
+
+
+def new_indexes(df: DataFrame, cuts: DataFrame, id_col: str, parent_col: str, index_col: str) -> DataFrame:
+    """``(id, parent, index, new_index)`` of every item of a parent with a split one: where its first or only piece comes.
+
+    ``cuts`` is what ``split_oversized`` gives; its own ``new_index`` goes on from here, so that no two items share a place.
+    """
+    extra = cuts.groupBy(id_col).agg((F.max("pieces") - 1).alias("_extra"))
+    touched = cuts.select(parent_col).distinct()
+    own = df.select(id_col, parent_col, index_col).dropDuplicates([id_col]).join(touched, parent_col, "left_semi").join(extra, id_col, "left")
+    before = Window.partitionBy(parent_col).orderBy(index_col, id_col).rowsBetween(Window.unboundedPreceding, -1)
+    pushed = F.coalesce(F.sum(F.coalesce("_extra", F.lit(0))).over(before), F.lit(0))
+    return own.select(id_col, parent_col, index_col, (F.col(index_col) + pushed).cast("int").alias("new_index"))

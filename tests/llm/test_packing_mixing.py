@@ -67,3 +67,21 @@ def test_found_queries_do_the_whole_packing_and_mixing(spark, monkeypatch):
     short = {r.source for r in Q.p7_found(spark, "/root/testdata/sf0.001").collect()}
     assert short == {r.source for r in Q.p7_shares(spark, "/root/testdata/sf0.001").where("not reachable").collect()}
     assert any("container" in c for c in written) and any("used_tokens" in c for c in written)
+
+
+def test_many_sizes_are_merged_into_classes():
+    sizes, counts = list(range(1, 5_001)), [1 + i % 3 for i in range(5_000)]
+    kept, merged = P.size_classes(sizes, counts, 100)
+    assert len(kept) <= 100 and kept[-1] == 5_000 and sum(merged) == sum(counts) and kept == sorted(set(kept))
+    assert merged[0] == sum(c for s, c in zip(sizes, counts) if s <= kept[0])
+    assert P.size_classes(sizes, counts, 5_000) == (sizes, counts)
+    best, near = P.bucket_bounds(sizes[:400], counts[:400], 6), P.bucket_bounds(*P.size_classes(sizes[:400], counts[:400], 80), 6)
+    total = lambda bounds: sum(c * (min(b for b in bounds if b >= s) - s) for s, c in zip(sizes[:400], counts[:400]))
+    assert total(best) <= total(near) <= 1.1 * total(best)
+
+
+def test_the_mixture_does_not_depend_on_the_ranges(spark):
+    sizes = spark.createDataFrame([(i, "a" if i % 3 else "b", 1 + i % 9) for i in range(600)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 2)], "source string, target_share double, max_repeats int")
+    got = [{tuple(r) for r in M.mix_sources(sizes, "doc_id", targets, ranges=n).collect()} for n in (None, 1, 37)]
+    assert got[0] == got[1] == got[2]

@@ -48,3 +48,15 @@ def test_tokens_agree_in_both_engines(spark):
     texts = ["", "a_b c-d", "né à 37,5°C … ok", "x y z", "日本語 テスト", "éa", "½ ² x", "a\x1cb", None]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(token_count(F.col("t"))).collect()]
     assert got == [len(TOKEN.findall(t or "")) for t in texts]
+
+
+def test_no_two_items_of_a_parent_share_a_place(spark):
+    text = lambda n: " ".join(f"Word{i} says so." for i in range(n))
+    rows = [("a", 1, 0, text(60)), ("b", 1, 1, text(2)), ("c", 1, 2, text(40)), ("d", 1, 3, None), ("e", 2, 0, text(3)), ("a", 1, 0, text(60))]
+    df = spark.createDataFrame(rows, "id string, parent int, pos int, text string")
+    cuts = S.split_oversized(df, "id", "parent", "pos", "text", 50, 5).collect()
+    whole = {r.id: r.new_index for r in S.new_indexes(df, S.split_oversized(df, "id", "parent", "pos", "text", 50, 5), "id", "parent", "pos").collect()}
+    split = {r.id for r in cuts}
+    places = [r.new_index for r in cuts] + [n for i, n in whole.items() if i not in split]
+    assert set(whole) == {"a", "b", "c", "d"} and split == {"a", "c"} and sorted(places) == list(range(len(places)))
+    assert all(r.new_index == whole[r.id] + r.piece for r in cuts)
