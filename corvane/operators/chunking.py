@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 from itertools import accumulate, islice, pairwise
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -242,9 +242,9 @@ def section_windows(df: DataFrame, id_col: str, text_col: str, **limits: int) ->
     return df.select(id_col, text_col).mapInPandas(cut, f"{id_col} {dict(df.dtypes)[id_col]}, section int, start_char int, end_char int, text string")
 
 
-def desired_page_size(wanted: int, multiplier: int) -> int:
-    """M14."""
-    return min(100, max(wanted, wanted * multiplier))
+def desired_page_size(wanted: Column, multiplier: Column) -> Column:
+    """Rows to ask for, between what is wanted and 100."""
+    return F.least(F.lit(100), F.greatest(wanted, wanted * multiplier))
 
 
 def segment_words(words: int, tokens: int, max_tokens: int) -> tuple[int, int]:

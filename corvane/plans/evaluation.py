@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,11 +138,15 @@ def match_scores(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFra
     return out.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1"))
 
 
-def overall_scores(entity: dict[str, float], relation: dict[str, float], community: dict[str, float], retrieval: dict[str, float]) -> dict[str, float]:
-    """Overall relevance and compliance as weighted sums of the parts."""
-    relevance = 0.4 * entity["clinical_relevance"] + 0.3 * relation["coherence"] + 0.3 * community["quality"]
-    parts = (0.5 * entity["f1"] + 0.5 * entity["clinical_relevance"], 0.5 * relation["f1"] + 0.5 * relation["coherence"], 0.3 * community["modularity"] + 0.7 * community["quality"], 0.4 * retrieval["mrr"] + 0.6 * retrieval["ndcg_5"])
-    return {"overall_relevance": relevance, "compliance": 0.25 * sum(parts)}
+def overall_scores(parts: DataFrame) -> DataFrame:
+    """``(overall_relevance, compliance)``: weighted sums of the parts.
+
+    ``parts`` has entity_f1, clinical_relevance, relation_f1, coherence, modularity, community_quality, mrr and ndcg_5.
+    """
+    c = F.col
+    relevance = 0.4 * c("clinical_relevance") + 0.3 * c("coherence") + 0.3 * c("community_quality")
+    four = (0.5 * c("entity_f1") + 0.5 * c("clinical_relevance"), 0.5 * c("relation_f1") + 0.5 * c("coherence"), 0.3 * c("modularity") + 0.7 * c("community_quality"), 0.4 * c("mrr") + 0.6 * c("ndcg_5"))
+    return parts.select(relevance.alias("overall_relevance"), (0.25 * reduce(lambda x, y: x + y, four)).alias("compliance"))
 
 
 def dataset_info(entities: DataFrame, relations: DataFrame, communities: DataFrame | None = None) -> DataFrame:

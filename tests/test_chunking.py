@@ -1,6 +1,7 @@
 from corvane.operators import chunking as C
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 
 def test_long_chunk_is_five_segments(spark):
@@ -43,5 +44,6 @@ def test_large_sections_move_on(text):
     assert all(0 <= s < e <= len(text) and e - s <= 100 for s, e in spans) and len(spans) <= len(text) + 1
 
 
-def test_page_size():
-    assert C.desired_page_size(5, 4) == 20 and C.desired_page_size(50, 4) == 100
+def test_page_size(spark):
+    sizes = spark.range(1).select(*(C.desired_page_size(F.lit(a), F.lit(b)).alias(f"c{a}") for a, b in ((5, 4), (50, 4), (3, 0)))).first()
+    assert tuple(sizes) == (20, 100, 3)
