@@ -73,8 +73,11 @@ def heuristic_relations(relations: DataFrame) -> DataFrame:
 
 
 def community_statistics(communities: DataFrame, total_entities: int | Column) -> DataFrame:
-    """Number, mean size, coverage, and the heuristics for modularity and silhouette, in one row."""
-    size = F.size("nodes").cast("double")
+    """Number, mean size, coverage, and the heuristics for modularity and silhouette, in one row.
+
+    ``communities`` has the occurrence and either the nodes of each or their number ``n_nodes``.
+    """
+    size = (F.col("n_nodes") if "n_nodes" in communities.columns else F.size("nodes")).cast("double")
     intra = F.sum(size * (size - 1) / 2 * F.col("occurrence"))
     spread = 1 / (1 + F.var_pop(size) / F.avg(size))
     total = total_entities if isinstance(total_entities, Column) else F.lit(total_entities)

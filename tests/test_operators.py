@@ -26,6 +26,40 @@ def test_set_overlap_equals_brute_force(spark):
     assert R.set_overlap(df.limit(0), "id", "item", 2).count() == 0
 
 
+@pytest.mark.parametrize("most", [1_000, 1])
+def test_overlaps_of_equal_and_large_sets_and_their_sums(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "_MOST_COMBINATIONS", most)  # with 1, every set of more than 3 items is a large one
+    rng = random.Random(2)
+    sets = {f"s{i:02d}": {f"t{rng.randrange(14)}" for _ in range(rng.randrange(9))} for i in range(25)}
+    sets |= {f"x{k}": set(v) for k, v in list(sets.items())[:12]} | {"own": {"only", "here"}}
+    df = spark.createDataFrame([(k, x) for k, v in sets.items() for x in v], "id string, item string")
+    want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 3}
+    got = [tuple(r) for r in R.set_overlap(df, "id", "item", 3).collect()]
+    assert len(got) == len(want) and set(got) == want
+    members, classes = R.overlap_classes(df, "id", "item", 3)
+    assert classes.count() < members.count()
+    comp = {r.id: (r.c, r.component) for r in G.overlap_components(members, classes, 3).collect()}
+    near = {x: {x} for a, b, _ in want for x in (a, b)}
+    for _ in near:
+        for a, b, _ in want:
+            near[a] = near[b] = near[a] | near[b]
+    assert {k: v[1] for k, v in comp.items()} == {k: min(v) for k, v in near.items()}
+    sums = R.class_sums(classes, 3).agg(F.sum("n_edges").alias("n"), F.sum("weight").alias("w")).first()
+    assert (sums.n, sums.w) == (len(want), sum(w for *_, w in want))
+
+
+def test_components_of_the_overlap_graph_need_no_edges(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(G, "set_overlap", None)  # would write every pair
+    run, where = entry.queries(), "/root/testdata/sf0.001"
+    parts = {r.part: r.n for r in run["graph_store"](spark, where).collect()}
+    comp = {r.id: r.component for r in run["connected_components"](spark, where).collect()}
+    assert (parts["members"], parts["communities"]) == (len(comp), len(set(comp.values())))
+    for name in ("largest_component", "community_schema", "community_statistics", "community_coherence", "clustering_quality", "true_modularity"):
+        assert run[name](spark, where).count()
+
+
 @pytest.mark.parametrize("n", [0, 1, 40])
 def test_components_equal_union_find(spark, n):
     rng = random.Random(n)
