@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from corvane.functions.fuzzy import token_sort_ratio
@@ -60,6 +61,33 @@ def test_components_of_the_overlap_graph_need_no_edges(spark, monkeypatch):
         assert run[name](spark, where).count()
 
 
+def test_overlap_vertices_need_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(G, "set_overlap", None)  # would compare all sets
+    m = spark.createDataFrame([("a", "c1", "n"), ("a", "c1", "n"), ("b", "c2", None), ("none", "c3", None)], "meta_graph_id string, chunk_id string, nct_id string")
+    e = spark.createDataFrame([("1", "a", "y"), ("1", "a", "y"), ("2", "a", "x"), ("3", "b", None), ("4", None, "z")], "entity_id string, meta_graph_id string, entity_text string")
+    got = {r.meta_graph_id: (r.entity_count, r.description) for r in G.overlap_vertices(m, e).collect()}
+    assert got == {"a": (2, "Chunk n: x, y"), "b": (1, "Chunk Unknown: ")}
+
+
+def test_combinations_are_shuffled_without_their_sets(spark):
+    classes = spark.createDataFrame([(1, [1, 2, 3, 4], 1), (2, [2, 3, 4], 2)], "c long, items array<long>, n long")
+    one, keys = R._combinations(classes, 3)
+    assert one.columns == ["c", *keys] and {t for _, t in one.dtypes} == {"bigint"}
+    assert sorted(map(tuple, one.collect())) == [(1, 1, 2, 3), (1, 1, 2, 4), (1, 1, 3, 4), (1, 2, 3, 4), (2, 2, 3, 4)]
+    assert [tuple(r) for r in R.class_overlaps(classes, 3).collect()] == [(1, 1, 2, 2, 3)]
+
+
+def test_the_overlap_graph_reads_two_columns_of_raw_entities(spark):
+    import __spark_entry__
+    from corvane.session import shared_folder
+
+    where = "/root/testdata/sf0.001"
+    before = {p.name for p in Path(shared_folder(spark).removeprefix("file:")).glob("stored/*")}
+    other = [n for n in ("set_overlap_pairs", "overlap_graph_stats", "connected_components", "overlap_vertices") if __spark_entry__.queries()[n](spark, f"{where}/.").count() == 0]
+    made = {p.name.split("-")[0] for p in Path(shared_folder(spark).removeprefix("file:")).glob("stored/*") if p.name not in before}
+    assert not other and "overlap_classes" in made and not made & {"entities", "meta_graphs"}
+
+
 @pytest.mark.parametrize("n", [0, 1, 40])
 def test_components_equal_union_find(spark, n):
     rng = random.Random(n)
