@@ -18,6 +18,7 @@ weights; seeds are then the evidence, as they are wherever the weights don't spe
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -59,8 +60,10 @@ KINDS = ("error", "script", "filler")
 _SEED = {k: re.compile("|".join(v)) for k, v in SEEDS.items()}
 # the same for the scan: any seed at all
 _ANY_SEED = "(?i)" + "|".join(chain.from_iterable(SEEDS.values()))
-#: Lines longer than this are text, not boilerplate.
+#: Lines longer than this are counted and told to tasks by a digest; they are subtracted, too, unless they are all that a record has.
 LONGEST = 120
+# Fixed value: what counts as space in a line, for Java and Python alike.
+_SPACE = r"[\t-\r \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 # Small words that running text in the collection's languages can't do without.
 SMALL_WORDS = frozenset(
     "the a an of and to in at on for with by was were is are from that this as or if not had has been be under than which after before who no "
@@ -74,8 +77,14 @@ _GAP = re.compile(r"[{}\[\]<>‹›@#_]|%[^\W\d_]|XX|xx|nnn|[-./](?:MM|mm)")
 
 
 def line_key(line: Column) -> Column:
-    """A line without what varies from page to page: case, digits and spacing."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "0"), r"\s+", " "))
+    """A line without what varies from page to page: case, digits and spacing; of a long line its digest."""
+    key = F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "0"), _SPACE, " "))
+    return F.when(F.length(line) > LONGEST, F.md5(key)).otherwise(key)
+
+
+def _line_keys(text: str) -> Column:
+    """The different keys of a text's lines, one by one."""
+    return F.explode(F.array_distinct(F.transform(F.split(text, "\n"), line_key)))
 
 
 @dataclass(frozen=True)
@@ -192,15 +201,20 @@ def weigh(texts: list[str], model: EvidenceModel, short_words: int = 60) -> pd.D
 
 def _key(line: str) -> str:
     """What ``line_key`` makes of a line."""
-    return " ".join(re.sub(r"[0-9]+", "0", line.lower()).split())
+    key = re.sub(_SPACE, " ", re.sub(r"[0-9]+", "0", line.lower())).strip(" ")
+    return hashlib.md5(key.encode("utf-8", "replace")).hexdigest() if len(line) > LONGEST else key
 
 
 def residual(text: str | None, boilerplate: frozenset[str] | set[str] = frozenset()) -> str:
-    """A text without its boilerplate lines; the whole text where nothing else is in it."""
+    """A text without its boilerplate lines; with the long ones where nothing else is in it, and the whole text where there are none."""
     if not text or not boilerplate:
         return text or ""
-    kept = "\n".join(x for x in text.split("\n") if len(x) > LONGEST or _key(x) not in boilerplate)
-    return kept if kept.strip() else text
+    lines = text.split("\n")
+    other = [_key(x) not in boilerplate for x in lines]
+    for kept in ("\n".join(x for x, o in zip(lines, other, strict=True) if o), "\n".join(x for x, o in zip(lines, other, strict=True) if o or len(x) > LONGEST)):
+        if kept.strip():
+            return kept
+    return text
 
 
 def evidence(text: str | None, boilerplate: frozenset[str] | set[str] = frozenset(), model: EvidenceModel | None = None) -> tuple[str | None, int, int]:
@@ -210,10 +224,10 @@ def evidence(text: str | None, boilerplate: frozenset[str] | set[str] = frozense
 
 
 def recurrent_lines(docs: DataFrame, host_col: str, text_col: str, recurrent: float, least: int) -> DataFrame:
-    """``(host, line)``: short normalised lines that a share of at least ``recurrent`` of a host's documents carry, of at least ``least``; all documents count."""
+    """``(host, line)``: normalised lines, long ones as digests, that a share of at least ``recurrent`` of a host's documents carry, of at least ``least``; all documents count."""
     own = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
     sizes = own.groupBy("host").agg(F.count("*").alias("docs"))
-    lines = own.select("host", F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) <= LONGEST), line_key))).alias("line"))
+    lines = own.select("host", _line_keys("text").alias("line"))
     counted = lines.where(F.col("line") != "").groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return counted.join(sizes, "host").where(F.col("n") >= recurrent * F.col("docs")).select("host", "line")
 
@@ -236,7 +250,7 @@ def mark_residue(docs: DataFrame, id_col: str, host_col: str, text_col: str, rec
         ready = base.withColumn("skip", F.lit(None).cast("array<string>"))
     else:
         own = base.withColumn("row", F.monotonically_increasing_id())
-        parts = own.select("row", "host", F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) <= LONGEST), line_key))).alias("line"))
+        parts = own.select("row", "host", _line_keys("text").alias("line"))
         salted = parts.withColumn("salt", F.pmod("row", F.lit(16)).cast("int"))
         spread = lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
         skip = salted.join(spread, ["host", "line", "salt"]).groupBy("row").agg(F.collect_set("line").alias("skip"))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import residue as R
 from corvane.llm import vocabulary as V
@@ -96,6 +97,18 @@ def test_only_the_residual_is_judged(spark):
     assert {r.evidence_words for i, r in got.items() if i < 50} == {0} and got[51].evidence_words == 6
 
 
+def test_long_lines_and_any_spacing_are_boilerplate(spark):
+    # a notice of more than 120 characters, spaced by a space that doesn't break, recurs like any other line
+    note = "This archive works best if cookies are enabled in the browser; " * 3 + "see page {} of\u00a0 the guide\u2003to the browser settings"
+    keys = spark.createDataFrame([(note.format(31),), (note[-40:],)], "text string").select("text", R.line_key(F.col("text")).alias("k")).collect()
+    assert all(r.k == R._key(r.text) for r in keys) and len(keys[0].k) == 32
+    rows = [(i, "h", f"{note.format(i)}\n{REPORTS[i % 2]} {chr(97 + i) * 3} {REPORTS[1 - i % 2]}") for i in range(20)] + [(20, "other", note.format(1) + "\n" + REPORTS[0])]
+    df = spark.createDataFrame(rows, "id long, host string, text string")
+    for most in (50_000, 0):
+        got = {r.id: r.evidence_words for r in R.mark_residue(df, "id", "host", "text", most_broadcast=most).collect()}
+        assert {n for i, n in got.items() if i < 20} == {0} and got[20] > 0
+
+
 LONG = "The page could not be found on this server because the address that was typed or followed from another site no longer leads to a record of the archive and the link that led here is out of date"
 
 
