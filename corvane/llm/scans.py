@@ -7,8 +7,8 @@ line's last word may go on in the next line.
 
 Letters are repaired by an averaged perceptron that edits characters: at every character it scores keep,
 replace, delete and insert, at a line's end it scores joining. It is trained on words of the pages that no
-clean text has, each aligned with the commonest clean word that looks alike, and on clean words, at most
-``sample_words`` of either. At work it proposes the likeliest edits of every strange word; what they spell is
+clean text has, each aligned with the commonest clean word that looks alike, and on clean words, all of
+either, in parts whose weights are averaged. At work it proposes the likeliest edits of every strange word; what they spell is
 looked up in the word counts of all clean texts, as is the word that looks alike, and the proposal whose edits and
 commonness weigh most is taken if it weighs more than a bar. The bar is learnt, too: between the repairs of the
 training words and the best that the editor can make of clean words that need none.
@@ -245,32 +245,44 @@ class CharEditor:
         return sum(self.score(f := self.features(word, i), ops[i]) - self.score(f, "keep") for i in changed) / len(changed)
 
     def fit(self, pairs: list[tuple[str, list[str]]], rounds: int = 5, seed: int = 17) -> CharEditor:
-        """Learn from words and their operations; the result averages the weights of all steps."""
-        self.ops = sorted({o for _, ops in pairs for o in ops} | {"keep"})
-        total: dict[tuple[str, str], float] = defaultdict(float)
-        stamp: dict[tuple[str, str], int] = defaultdict(int)
-        now: dict[tuple[str, str], float] = defaultdict(float)
-        rng, step = np.random.default_rng(seed), 0
-
-        def bump(key: tuple[str, str], by: float) -> None:
-            total[key] += (step - stamp[key]) * now[key]
-            stamp[key] = step
-            now[key] += by
-
-        self.weights = now
+        """Learn from words and their operations; the result averages the weights of all steps.
+
+        Weights are rows of an array, a feature each, so that all operations are scored at once.
+        """
+        self.ops, self._rows = sorted({o for _, ops in pairs for o in ops} | {"keep"}), None
+        number = {o: k for k, o in enumerate(self.ops)}
+        known: dict[str, int] = {}
+        cases = [[(np.array([known.setdefault(f, len(known)) for f in self.features(word, i)]), number[op]) for i, op in enumerate(ops)] for word, ops in pairs]
+        now, late = np.zeros((len(known), len(self.ops))), np.zeros((len(known), len(self.ops)))
+        touched = np.zeros(now.shape, dtype=bool)
+        rng, step, keep = np.random.default_rng(seed), 0, number["keep"]
         for _ in range(rounds):
-            for k in rng.permutation(len(pairs)):
-                word, ops = pairs[k]
-                for i, op in enumerate(ops):
+            for k in rng.permutation(len(cases)):
+                for rows, op in cases[k]:
                     step += 1
-                    feats = self.features(word, i)
-                    guess = max(self.ops, key=lambda o: (sum(now[(f, o)] if (f, o) in now else 0.0 for f in feats), o == "keep"))  # noqa: B023
+                    scores = now[rows].sum(axis=0)
+                    guess = int(scores.argmax())
+                    guess = keep if scores[keep] == scores[guess] else guess
                     if guess != op:
-                        for f in feats:
-                            bump((f, op), 1.0), bump((f, guess), -1.0)
-        self.weights = {k: (total[k] + (step - stamp[k]) * w) / max(1, step) for k, w in now.items()}
+                        # a feature that a place has twice counts twice
+                        for at, by in ((op, 1.0), (guess, -1.0)):
+                            np.add.at(now[:, at], rows, by), np.add.at(late[:, at], rows, by * step)
+                            touched[rows, at] = True
+        names = list(known)
+        self.weights = {(names[f], self.ops[o]): float(step * now[f, o] - late[f, o]) / max(1, step) for f, o in zip(*np.nonzero(touched), strict=True)}
         return self
 
+    @classmethod
+    def mean(cls, parts: dict[int, dict[tuple[str, str], float]]) -> CharEditor:
+        """The editor that weighs as those of several parts do on average."""
+        total: dict[tuple[str, str], float] = defaultdict(float)
+        for k in sorted(parts):
+            for key, w in parts[k].items():
+                total[key] += w / len(parts)
+        out = cls()
+        out.weights, out.ops = dict(sorted(total.items())), sorted({o for _, o in total} | {"keep"})
+        return out
+
 
 class JoinEditor(CharEditor):
     """The same perceptron at a line's end: join the halves of a word, or keep the mark between them.
@@ -328,10 +340,35 @@ def operations(seen: str, meant: str) -> list[str] | None:
     return [o for step in reversed(steps) for o in step]
 
 
-def judge_words(words: DataFrame, clean: DataFrame, sample_words: int = 20_000, common: int = 5) -> DataFrame:
+def learn_editor(pairs: DataFrame, clean: DataFrame, part_words: int = 20_000) -> CharEditor:
+    """The editor learnt from all misread words ``(word, meant)`` and all clean words ``(word)``.
+
+    More than ``part_words`` words are dealt to parts of about that many, each learnt in a task of its own, and the parts'
+    weights are averaged. The driver holds the weights.
+    """
+    cases = cut_lineage(pairs.select("word", "meant").unionByName(clean.select("word", F.lit(None).cast("string").alias("meant"))))
+    parts = max(1, -(-cases.count() // part_words))
+
+    def learn(own: pd.DataFrame) -> pd.DataFrame:
+        # misread words first, either kind in the order of a hash
+        own = own.assign(clean=own["meant"].isna()).sort_values(["clean", "order", "word"])
+        ways = [(w, ["keep"] * len(w) if m is None else operations(w, m)) for w, m in zip(own["word"], own["meant"], strict=True)]
+        weights = CharEditor().fit([x for x in ways if x[1]]).weights
+        return pd.DataFrame([(int(own["part"].iloc[0]), f, o, w) for (f, o), w in weights.items()], columns=["part", "feature", "op", "weight"])
+
+    order = F.xxhash64("word")
+    dealt = cases.select("word", "meant", order.alias("order"), F.pmod(order, F.lit(parts)).cast("int").alias("part"))
+    found: dict[int, dict[tuple[str, str], float]] = {k: {} for k in range(parts)}
+    for r in dealt.groupBy("part").applyInPandas(learn, "part int, feature string, op string, weight double").toLocalIterator():
+        found[r.part][(r.feature, r.op)] = r.weight
+    return CharEditor.mean(found)
+
+
+def judge_words(words: DataFrame, clean: DataFrame, part_words: int = 20_000, common: int = 5) -> DataFrame:
     """``(word, n, meant)`` of distinct words: how often clean texts have it, and the word a misread one means.
 
-    ``meant`` is null for words that aren't misread; for one without a clean likeness it is the editor's own repair.
+    ``meant`` is null for words that aren't misread; for one without a clean likeness it is the editor's own repair. All
+    misread and all clean words train the editor and set the bars.
     """
     skel = F.pandas_udf(lambda s: s.map(skeleton), "string")
     own = words.select("word").distinct().join(clean, "word", "left").na.fill(0, ["n"])
@@ -345,11 +382,7 @@ def judge_words(words: DataFrame, clean: DataFrame, sample_words: int = 20_000,
         return found.groupBy("word").agg(F.max_by("meant", F.struct("m", "meant")).alias("meant"), F.max("m").alias("m"))
 
     near = cut_lineage(lookalikes(strange))
-    order = F.xxhash64("word")
-    sample = [(r.word, operations(r.word, r.meant), np.log(r.m)) for r in near.orderBy(order).limit(sample_words).collect()]
-    pairs = [(w, o) for w, o, _ in sample if o]
-    kept = [r.word for r in clean.orderBy(order).limit(min(sample_words, max(1_000, 2 * len(pairs)))).collect()]
-    editor = CharEditor().fit(pairs + [(w, ["keep"] * len(w)) for w in kept])
+    editor = learn_editor(near, clean, part_words)
 
     def propose(batches):
         for b in batches:
@@ -365,12 +398,15 @@ def judge_words(words: DataFrame, clean: DataFrame, sample_words: int = 20_000,
     worth = (F.col("gain") + F.log("m")).alias("worth")
     # a bar lies where the repairs of strange words and those that could be made of clean words, which need none, are told apart
     # best; a clean word seldom looks like another, so look-alikes have a lower bar than whatever the editor makes of a word
-    good = [editor.gain(w, o) + m for w, o, m in sample if o]
-    unhurt = words.sparkSession.createDataFrame([(w,) for w in kept], "word string")
-    bad = {s: [r.worth for r in made.groupBy("word").agg(F.max(worth).alias("worth")).collect()] for s, made in (("made", spelt(unhurt)), ("alike", lookalikes(unhurt).withColumn("gain", gain("word", "meant"))))}
-    bars = {s: _bar(good, b, len(kept)) for s, b in bad.items()}
+    near = cut_lineage(near.withColumn("gain", gain("word", "meant")).select("word", "meant", worth))
+    unhurt = clean.select("word")
+    # the driver gets counts by thousandths, not the words; what is good counts down to its thousandth, what is bad up
+    counts = lambda df, to: [(r.at, r.k) for r in df.groupBy((to(F.col("worth") * 1000) / 1000).alias("at")).agg(F.count("*").alias("k")).collect()]
+    good, total = counts(near, F.floor), unhurt.count()
+    made = {"made": spelt(unhurt), "alike": lookalikes(unhurt).withColumn("gain", gain("word", "meant"))}
+    bars = {s: _bar(good, counts(df.groupBy("word").agg(F.max(worth).alias("worth")), F.ceil), total) for s, df in made.items()}
     offers = spelt(strange.select("word")).select("word", "meant", worth).where(F.col("worth") >= bars["made"])
-    offers = offers.unionByName(near.withColumn("gain", gain("word", "meant")).select("word", "meant", worth).where(F.col("worth") >= bars["alike"]))
+    offers = offers.unionByName(near.where(F.col("worth") >= bars["alike"]))
     chosen = offers.groupBy("word").agg(F.max_by("meant", F.struct("worth", "meant")).alias("meant"))
 
     def decide(word: pd.Series, meant: pd.Series) -> pd.Series:
@@ -387,18 +423,24 @@ def judge_words(words: DataFrame, clean: DataFrame, sample_words: int = 20_000,
     return own.join(judged, "word", "left")
 
 
-def _bar(good: list[float], bad: list[float], clean: int) -> float:
+def _bar(good: list, bad: list, clean: int) -> float:
     """The worth from which a repair is believed: the lowest value that misjudges fewest, halfway to the next worth below it.
 
     ``bad`` are those of ``clean`` words of which a repair could be made. A share of the strange words counts as much as the
-    same share of the clean ones, whatever their numbers.
+    same share of the clean ones, whatever their numbers. Values may come with their number, as ``(worth, n)``.
     """
     if not good:
         return 0.0
-    good_, bad_ = np.sort(good), np.sort(bad)
+
+    def ordered(values: list) -> tuple[np.ndarray, np.ndarray]:
+        """Values in order and the number of values before each place."""
+        pairs = sorted(v if isinstance(v, tuple) else (v, 1) for v in values)
+        return np.array([v for v, _ in pairs], dtype=np.float64), np.concatenate([[0], np.cumsum([n for _, n in pairs], dtype=np.int64)])
+
+    (good_, before), (bad_, below_bad) = ordered(good), ordered(bad)
     at = np.concatenate([good_, bad_ + 1e-9])
-    lost = np.searchsorted(good_, at, side="left") / len(good_)
-    wrong = (len(bad_) - np.searchsorted(bad_, at, side="left")) / max(1, clean)
+    lost = before[np.searchsorted(good_, at, side="left")] / before[-1]
+    wrong = (below_bad[-1] - below_bad[np.searchsorted(bad_, at, side="left")]) / max(1, clean)
     bar = float(at[int(np.lexsort((at, lost + wrong))[0])])
     below = np.concatenate([good_[good_ < bar], bad_[bad_ < bar]])
     return (bar + float(below.max())) / 2 if len(below) else bar - 1e-9

@@ -89,3 +89,24 @@ def test_strange_words_are_repaired_and_others_kept(spark):
     got = {r.word: r.meant for r in S.judge_words(seen, clean).collect()}
     assert got["bours"] == "hours" and got["wifhin"] == "within" and got["patienfs"] == "patients"
     assert got["xyzzymab"] is None and got["house"] is None
+
+
+def test_every_word_trains_the_editor(spark):
+    # more misread and clean words than a part holds: the parts' weights are averaged, none is left out
+    pairs = [(f"{a}{b}m0de{c}", f"{a}{b}mode{c}") for a in "bdfg" for b in "aeu" for c in "lnrst"]
+    near = spark.createDataFrame(pairs, "word string, meant string")
+    clean = spark.createDataFrame([(b, 50) for _, b in pairs] + [("hat", 50)], "word string, n long")
+    rows = near.unionByName(clean.selectExpr("word", "cast(null as string) as meant")).selectExpr("meant is null as c", "xxhash64(word) as h", "word", "meant").collect()
+    for part_words, parts in ((20_000, 1), (40, 4)):
+        dealt = {k: [(r.word, ["keep"] * len(r.word) if r.c else S.operations(r.word, r.meant)) for r in sorted(rows) if r.h % parts == k] for k in range(parts)}
+        assert sum(map(len, dealt.values())) == 121 and all(dealt.values())
+        want = S.CharEditor.mean({k: S.CharEditor().fit(x).weights for k, x in dealt.items()})
+        got = S.learn_editor(near, clean, part_words)
+        assert got.weights == want.weights and got.ops == want.ops == ["=o", "keep"]
+    mean = S.CharEditor.mean({0: {("b", "keep"): 1.0}, 1: {("b", "keep"): 3.0, ("b", "=o"): 1.0}})
+    assert mean.weights == {("b", "keep"): 2.0, ("b", "=o"): 0.5} and mean.ops == ["=o", "keep"]
+
+
+def test_the_bar_of_counted_values_is_that_of_the_values():
+    good, bad = [3.0, 3.0, 4.0, 5.0, 5.0], [0.5, 1.0, 1.0, 3.5]
+    assert S._bar(good, bad, 10) == S._bar([(3.0, 2), (4.0, 1), (5.0, 2)], [(0.5, 1), (1.0, 2), (3.5, 1)], 10)
