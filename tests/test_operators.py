@@ -271,3 +271,19 @@ def test_fuzzy_matches_equal_brute_force_with_qualifiers_and_typos(spark):
     for blocks in ({}, {"block": 25}):
         assert {(r.value, r.vocabulary): (r.code, r.confidence) for r in R.fuzzy_matches(v, "v", n, **blocks).collect()} == want
     assert len(want) > 40
+
+
+def _stored_by(spark, folder, name):
+    """The tables that a query stores on data it meets for the first time, and its rows."""
+    import __spark_entry__
+    from corvane.session import shared_folder
+
+    (folder / "in").symlink_to("/root/testdata/sf0.001")
+    before = {p.name for p in Path(shared_folder(spark).removeprefix("file:")).glob("stored/*")}
+    rows = __spark_entry__.queries()[name](spark, str(folder / "in")).collect()
+    return {p.name.rpartition("-")[0] for p in Path(shared_folder(spark).removeprefix("file:")).glob("stored/*") if p.name not in before}, rows
+
+
+def test_clustering_quality_stores_no_entities(spark, tmp_path):
+    stored, rows = _stored_by(spark, tmp_path, "clustering_quality")
+    assert len(rows) == 1 and "overlap_components" in stored and "entities" not in stored
