@@ -287,3 +287,8 @@ def _stored_by(spark, folder, name):
 def test_clustering_quality_stores_no_entities(spark, tmp_path):
     stored, rows = _stored_by(spark, tmp_path, "clustering_quality")
     assert len(rows) == 1 and "overlap_components" in stored and "entities" not in stored
+
+
+def test_community_statistics_stores_neither_entities_nor_meta_graphs(spark, tmp_path):
+    stored, rows = _stored_by(spark, tmp_path, "community_statistics")
+    assert len(rows) == 1 and "communities" in stored and not stored & {"entities", "meta_graphs"}
