@@ -8,6 +8,7 @@ from corvane.operators import relational as R
 from corvane.operators import sinks as K
 from corvane.plans import cypher
 from corvane.plans import evaluation as E
+from corvane.plans import retrieval as RT
 from pyspark.sql import functions as F
 
 
@@ -292,3 +293,17 @@ def test_clustering_quality_stores_no_entities(spark, tmp_path):
 def test_community_statistics_stores_neither_entities_nor_meta_graphs(spark, tmp_path):
     stored, rows = _stored_by(spark, tmp_path, "community_statistics")
     assert len(rows) == 1 and "communities" in stored and not stored & {"entities", "meta_graphs"}
+
+
+@pytest.mark.parametrize("name", ["community_scores"])
+def test_community_scores_store_no_entities(spark, tmp_path, name):
+    stored, _ = _stored_by(spark, tmp_path, name)
+    assert "communities" in stored and not stored & {"entities", "meta_graphs"}
+
+
+def test_community_scores_count_repeated_mentions_once(spark):
+    c = spark.createDataFrame([("a", 0, "t", 1.0)], "cluster_key string, level int, title string, occurrence double")
+    m = spark.createDataFrame([("a", "g")], "cluster_key string, meta_graph_id string")
+    rows = [("1", "g", "headache", "condition"), ("2", "g", "headaches", "condition"), ("3", None, "headache", "condition")]
+    once, twice = (RT.community_scores("headache", c, m, spark.createDataFrame(x, "entity_id string, meta_graph_id string, entity_text string, entity_type string")).collect() for x in (rows, rows[:1] + rows))
+    assert once == twice and len(once) == 1
