@@ -295,7 +295,7 @@ def test_community_statistics_stores_neither_entities_nor_meta_graphs(spark, tmp
     assert len(rows) == 1 and "communities" in stored and not stored & {"entities", "meta_graphs"}
 
 
-@pytest.mark.parametrize("name", ["community_scores"])
+@pytest.mark.parametrize("name", ["community_scores", "community_scores_drugs"])
 def test_community_scores_store_no_entities(spark, tmp_path, name):
     stored, _ = _stored_by(spark, tmp_path, name)
     assert "communities" in stored and not stored & {"entities", "meta_graphs"}
