@@ -307,3 +307,20 @@ def test_community_scores_count_repeated_mentions_once(spark):
     rows = [("1", "g", "headache", "condition"), ("2", "g", "headaches", "condition"), ("3", None, "headache", "condition")]
     once, twice = (RT.community_scores("headache", c, m, spark.createDataFrame(x, "entity_id string, meta_graph_id string, entity_text string, entity_type string")).collect() for x in (rows, rows[:1] + rows))
     assert once == twice and len(once) == 1
+
+
+@pytest.mark.parametrize("name", ["hybrid_retrieval"])
+def test_retrieval_stores_neither_mentions_nor_relations(spark, tmp_path, name):
+    stored, rows = _stored_by(spark, tmp_path, name)
+    assert rows and "relation_counts" in stored and not stored & {"entities", "counted_entities", "relations", "meta_graphs", "chunks"}
+
+
+def test_candidates_of_repeated_rows_and_relations_near_seeds(spark):
+    rows = [("1", "g", "headache", "condition", 0.5, None, None), ("2", "g", "x", "condition", None, "C1", "umls"), ("3", None, "headache", None, 0.9, None, None), ("4", "g", "x", "condition", 0.1, None, None)]
+    kind = "entity_id string, meta_graph_id string, entity_text string, entity_type string, confidence double, normalized_id string, normalized_source string"
+    r = spark.createDataFrame([("r1", "1", "2"), ("r2", "2", "3"), ("r3", "3", "1"), ("r4", "4", "4")], "relation_id string, subject_entity_id string, object_entity_id string")
+    once, twice = ([tuple(x) for x in RT.entity_candidates("headache", spark.createDataFrame(e, kind), R.end_counts(r), None).select("entity_id", "confidence", "relation_count").orderBy("entity_id").collect()] for e in (rows, rows + rows))
+    assert once == twice == [("1", 0.5, 2), ("2", None, 2), ("3", 0.9, 2)]
+    seeds = spark.createDataFrame([("1",)], "id string")
+    for few in (20_000, 0):
+        assert [sorted({x.relation_id for x in G.relations_near(r, seeds, n, few).collect()}) for n in (1, 2)] == [["r1"], ["r1", "r2"]]
