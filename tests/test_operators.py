@@ -309,7 +309,7 @@ def test_community_scores_count_repeated_mentions_once(spark):
     assert once == twice and len(once) == 1
 
 
-@pytest.mark.parametrize("name", ["hybrid_retrieval", "graph_store", "context_chunks", "community_context", "community_ranking"])
+@pytest.mark.parametrize("name", ["hybrid_retrieval", "graph_store", "context_chunks", "community_context", "community_ranking", "global_context"])
 def test_retrieval_stores_neither_mentions_nor_relations(spark, tmp_path, name):
     stored, rows = _stored_by(spark, tmp_path, name)
     assert rows and "relation_counts" in stored and not stored & {"entities", "counted_entities", "relations", "meta_graphs", "chunks"}
