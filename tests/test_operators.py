@@ -324,3 +324,12 @@ def test_candidates_of_repeated_rows_and_relations_near_seeds(spark):
     seeds = spark.createDataFrame([("1",)], "id string")
     for few in (20_000, 0):
         assert [sorted({x.relation_id for x in G.relations_near(r, seeds, n, few).collect()}) for n in (1, 2)] == [["r1"], ["r1", "r2"]]
+
+
+def test_communities_of_known_components_need_no_search_for_them(spark, monkeypatch):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(f"{a:02}", f"{b:02}", 1.0) for a, b in {tuple(sorted(rng.sample(range(40), 2))) for _ in range(50)}], "src string, dst string, weight double")
+    known = G.connected_components(df)
+    want = sorted(map(tuple, G.communities(df, max_size=5).collect()))
+    monkeypatch.setattr(G, "connected_components", None)
+    assert sorted(map(tuple, G.communities(df, max_size=5, components=known).collect())) == want
