@@ -2,6 +2,7 @@ import random
 from pathlib import Path
 
 import pytest
+from corvane import session
 from corvane.functions.fuzzy import token_sort_ratio
 from corvane.operators import graph as G
 from corvane.operators import relational as R
@@ -315,6 +316,30 @@ def test_retrieval_stores_neither_mentions_nor_relations(spark, tmp_path, name):
     assert rows and "relation_counts" in stored and not stored & {"entities", "counted_entities", "relations", "meta_graphs", "chunks"}
 
 
+@pytest.mark.parametrize("name", ["community_context"])
+def test_retrieval_counts_no_edges_of_the_overlap_graph(spark, tmp_path, name):
+    stored, rows = _stored_by(spark, tmp_path, name)
+    assert rows and "communities" in stored and "overlap_sums" not in stored
+
+
+def test_communities_without_edges_are_those_with_edges(spark):
+    m = spark.createDataFrame([("a", 0, "a"), ("b", 0, "a"), ("c", 0, "c")], "id string, level int, cluster string")
+    e = spark.createDataFrame([("a", "b", 1.0)], "src string, dst string, weight double")
+    v = spark.createDataFrame([("a", "1"), ("a", "2"), ("c", None)], "meta_graph_id string, chunk_id string")
+    with_edges, without = (G.community_tables(m, x, v)[0] for x in (e, None))
+    assert "n_edges" not in without.columns and sorted(with_edges.drop("n_edges").collect()) == sorted(without.collect())
+    assert {r.cluster_key: (r.n_nodes, r.n_edges, r.n_chunks) for r in with_edges.collect()} == {"a": (2, 1, 3), "c": (1, 0, 1)}
+
+
+def test_files_of_shuffles_are_released_at_once_where_asked(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr("corvane.session.gc.collect", lambda: calls.append(1))
+    session.release(spark, now=True)
+    session.release(spark)
+    session.release(spark, now=True)
+    assert len(calls) == 2
+
+
 def test_candidates_of_repeated_rows_and_relations_near_seeds(spark):
     rows = [("1", "g", "headache", "condition", 0.5, None, None), ("2", "g", "x", "condition", None, "C1", "umls"), ("3", None, "headache", None, 0.9, None, None), ("4", "g", "x", "condition", 0.1, None, None)]
     kind = "entity_id string, meta_graph_id string, entity_text string, entity_type string, confidence double, normalized_id string, normalized_source string"
