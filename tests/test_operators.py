@@ -316,7 +316,7 @@ def test_retrieval_stores_neither_mentions_nor_relations(spark, tmp_path, name):
     assert rows and "relation_counts" in stored and not stored & {"entities", "counted_entities", "relations", "meta_graphs", "chunks"}
 
 
-@pytest.mark.parametrize("name", ["community_context", "community_ranking"])
+@pytest.mark.parametrize("name", ["community_context", "community_ranking", "global_context"])
 def test_retrieval_counts_no_edges_of_the_overlap_graph(spark, tmp_path, name):
     stored, rows = _stored_by(spark, tmp_path, name)
     assert rows and "communities" in stored and "overlap_sums" not in stored
